@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import minhash
+from millrace.llm import minhash, shards, stream_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,24 @@ FROM s JOIN c ON c.id = s.doc_id
 @_query("op1_minhash_near_dedup", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_prefix_sum_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.byte_balanced(_table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_OP5_SQL = """
+WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
+FROM documents d JOIN g ON coalesce(d.text, '') = g.t
+"""
+
+
+@_query("op5_stream_exact_dedup", _OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
