@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import minhash, shards, stream_dedup
+from millrace.llm import minhash, mixing, shards, stream_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query("op2_pivotal_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"), weights=[3, 1, 2], factor=1.5, cap=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query("op4_prefix_sum_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_balanced(_table(spark, sf_dir, "documents"), 24)
