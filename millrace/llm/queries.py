@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, minhash, mixing, shards, stream_dedup, url_filter
+from millrace.llm.common import scratch
+from millrace.llm import chat, minhash, mixing, shards, stream_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+_OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+
+@_query("op3_warc_normaliser", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mono, normal = scratch(spark, "warc-mono"), scratch(spark, "warc")
+    warc.write_monolithic(warc.records(_table(spark, sf_dir, "pages")), mono)
+    warc.normalise(spark, mono, normal)
+    back = warc.read_records(warc.read_index(spark, normal))
+    page = lambda c: F.regexp_extract(c, "urn:x-page:(-?[0-9]+)", 1).cast("long")
+    return back.select(
+        page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"),
+    )
+
+
 @_query("op4_prefix_sum_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_balanced(_table(spark, sf_dir, "documents"), 24)
