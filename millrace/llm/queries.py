@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch
-from millrace.llm import chat, minhash, mixing, shards, stream_dedup, url_filter, warc
+from millrace.llm import chat, minhash, mixing, shards, stream_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+@_query("op8_toxicity_lexicon")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return scores.select(
+        "doc_id", (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 _OP9_ESC = "replace(replace(replace(replace(coalesce({c}, ''), '\\', '\\\\'), '<', '<\\'), '[', '[\\'), '|', '|\\')"
 _OP9_SQL = f"""
 WITH c AS (
