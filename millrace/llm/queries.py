@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch
-from millrace.llm import chat, decontaminate, minhash, mixing, shards, stream_dedup, toxicity, url_filter, warc
+from millrace.llm import chat, decontaminate, licenses, minhash, mixing, shards, stream_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op7_license_signatures")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 @_query("op8_toxicity_lexicon")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
