@@ -173,3 +173,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingPa
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
+
+
+def _drop(items: list[tuple[int, str]], params: TilingParams):
+    """The rows, with all their columns, into which no item of the block leaks."""
+    scan = _scan(items, params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places(held: list) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.append(batch)
+                # the row's number stands for its id, so rows without id are judged too
+                yield pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text").cast(pa.string())], names=["doc_id", "text"])
+
+        held: list[pa.RecordBatch] = []
+        for found in scan(places(held)):
+            batch = held.pop()
+            leaked = np.zeros(batch.num_rows, bool)
+            leaked[found.column(0).to_numpy()] = True
+            yield batch.filter(pa.array(~leaked))
+
+    return run
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingParams()) -> DataFrame:
+    """The rows, with all their columns, that no benchmark item leaks into; one pass per block, no shuffle."""
+    for block in blocks(benchmark, params):
+        docs = docs.mapInArrow(_drop(block, params), docs.schema)
+    return docs

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, lookup_join, ordered, partition_offsets
@@ -149,3 +149,17 @@ def mixed(docs: DataFrame, weights: list[float] = [3, 1, 2], factor: float = 1.5
     out = reduce(DataFrame.unionByName, done)
     copies = (F.col("whole") + F.col("p").cast("long")).alias("copies")
     return out.select("doc_id", "size", "source", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def taken_rows(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: the rows, with all their columns, each as often as it is taken."""
+    picks = mixed(docs, **params).groupBy(F.col("doc_id").alias("key_")).agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
+    picks = checkpoint(picks)
+    met = docs.join(picks, docs["doc_id"].cast("long").eqNullSafe(picks["key_"]))
+    times = F.col("copies_")
+    if not picks.where("rows_ > 1").isEmpty():
+        # rows that share a doc_id share its copies as evenly as can be
+        turn = F.row_number().over(Window.partitionBy("key_").orderBy(F.xxhash64(*docs.columns)))
+        met = met.withColumn("turn_", turn)
+        times = F.floor(F.col("copies_") / F.col("rows_")) + (F.col("turn_") <= F.col("copies_") % F.col("rows_")).cast("long")
+    return met.withColumn("again_", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(docs.columns)
