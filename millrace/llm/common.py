@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key above which a lookup join treats the key as hot.
@@ -53,16 +53,24 @@ def hot_keys(left: DataFrame, key: str, rows: int | None = None) -> list:
     return [r[0] for r in found.where(F.col(key).isNotNull()).select(key).collect()]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def _literal(value) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(bytes(value) if isinstance(value, bytearray) else value)
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join of many rows per key (``left``) with one row per key (``right``).
 
     Rows of hot keys meet a broadcast of those keys' rows (at most MAX_HOT_KEYS of them) in place, so
-    no key gathers in one task; the others meet in a shuffle.
+    no key gathers in one task; the others meet in a shuffle. ``rows`` (of ``left``) or ``hot`` (its hot
+    keys) save a pass where they are known.
     """
-    hot = hot_keys(left, key, rows)
+    hot = hot_keys(left, key, rows) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    type_ = left.schema[key].dataType
+    is_hot = F.coalesce(F.col(key).isin(*[_literal(v).cast(type_) for v in hot]), F.lit(False))
     cold = left.where(~is_hot).join(right.where(~is_hot), key, how)
     return cold.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
 
