@@ -25,6 +25,8 @@ from millrace.llm.common import checkpoint, lookup_join, scratch
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no disk space is set aside for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one digest that one copy of the kept text serves.
 SHARE = 2_000
