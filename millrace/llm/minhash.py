@@ -13,38 +13,53 @@ bucket pair ends in one component or is known not to be a link.
 
 Null, empty and blank texts have the empty set (``n_shingles`` 0) and are linked with nothing; a
 document with fewer words than the shingle width has its whole word sequence as one shingle; repeated
-rows of one doc_id give repeated output rows; rows with a null doc_id never lead a group.
+rows of one doc_id give repeated output rows and are one vertex, whatever their texts; rows with a null
+doc_id never lead a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, lookup_join
+from millrace.llm.common import HOT_ROWS, MAX_HOT_KEYS, checkpoint, lookup_join
 from millrace.llm.wordhash import U64, mix64, shingles, slices, words
 
+#: 64-bit words of the parity sketch.
+ODD_WORDS = 8
+SKETCH = ("s0", "s1", *(f"o{i}" for i in range(ODD_WORDS)))
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 15
 #: Members of a bucket that meet in one task when the last pairs are listed.
 BLOCK = 512
-#: Most rounds of pivots before the last pairs are listed.
+#: Comparisons for each open member of a bucket up to which the last pairs are listed.
+LAST_PAIRS = 200
+#: Most rounds of pivots before that.
 ROUNDS = 5
 
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """``threshold`` is a percentage; with 32 bands of 4 a pair at 75 % is missed with probability 5e-6."""
+    """``threshold`` is a percentage; with 48 bands of 5 a pair at 75 % is missed with probability 2e-6.
+
+    Two sketches spare pairs the verification. Of each of the first 128 coordinates one bit is kept: sets
+    at 75 % agree in 112 of the 128 bits (standard deviation 3.7), and pairs that agree in fewer than
+    ``agree`` are left out (a pair at 75 % with probability below 1e-9). And of each of 512 cells over which the
+    shingles are scattered the parity of their number is kept: the cells that differ are at most the
+    shingles that differ, so pairs with too many of them surely are below the threshold.
+    """
 
     width: int = 5
     threshold: int = 75
-    bands: int = 32
-    rows: int = 4
+    bands: int = 48
+    rows: int = 5
+    agree: int = 88
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -86,6 +101,20 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix64(keys + np.arange(bands, dtype=U64) * U64(0xD1342543DE82EF95))
 
 
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 128 coordinates, as two 64-bit words."""
+    bits = np.packbits((signature[:, :128] & np.uint32(1)).astype(bool), axis=1, bitorder="little")
+    return np.ascontiguousarray(bits).view(np.int64)
+
+
+def _odd_sketch(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each cell, per set."""
+    cells = 64 * ODD_WORDS
+    at = np.repeat(np.arange(len(bounds) - 1) * cells, np.diff(bounds)) + (mix64(sets ^ U64(0x2545F4914F6CDD1D)) % U64(cells)).astype(np.int64)
+    odd = np.bincount(at, minlength=(len(bounds) - 1) * cells).reshape(-1, cells) & 1
+    return np.ascontiguousarray(np.packbits(odd.astype(bool), axis=1, bitorder="little")).view(np.int64)
+
+
 def _distinct_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, and their bounds."""
     hashes, bounds = shingles(*words(raw, offsets), width)
@@ -111,6 +140,7 @@ def _sign(params: MinHashParams):
                 own = np.array(ids.slice(at, n).fill_null(-1), np.int64)
                 h1, h2 = own.copy(), ~own
                 keys = np.zeros(0, U64)
+                sketch = np.zeros((n, len(SKETCH)), np.int64)
                 if len(full):
                     edges = np.append(bounds[full], bounds[-1])
                     with np.errstate(over="ignore"):
@@ -118,31 +148,42 @@ def _sign(params: MinHashParams):
                         h2[full] = np.add.reduceat(mix64(sets ^ U64(0xA5A5A5A55A5A5A5A)), edges[:-1]).view(np.int64)
                     signature = circulant_signatures(sets, edges, params.bands * params.rows)
                     keys = _band_keys(signature, params.bands, params.rows).ravel()
+                    sketch[full] = np.hstack([_sketch(signature), _odd_sketch(sets, edges)])
                 held = np.concatenate([[0], np.cumsum((size > 0) * params.bands)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, n), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), _arrow_lists(keys, held)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [ids.slice(at, n), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), _arrow_lists(keys, held)],
+                    names=["doc_id", "n_shingles", "h1", "h2", *SKETCH, "bands"],
                 )
 
     return run
 
 
 def _full_sets(width: int):
+    """id and its distinct shingles; a set that the last rows of the same id had is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, had = None, set()
         for batch in batches:
             for at, end, raw, offsets in slices(batch.column(1)):
+                ids = batch.column(0).slice(at, end - at)
                 sets, bounds = _distinct_sets(raw, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), _arrow_lists(sets, bounds)], names=["id", "items"]
-                )
+                new = []
+                for i, id_ in enumerate(ids.to_pylist()):
+                    if id_ != last:
+                        last, had = id_, set()
+                    own = hash(sets[bounds[i] : bounds[i + 1]].tobytes())
+                    new.append(own not in had)
+                    had.add(own)
+                out = pa.RecordBatch.from_arrays([ids, _arrow_lists(sets, bounds)], names=["id", "items"])
+                yield out if all(new) else out.filter(pa.array(new))
 
     return run
 
 
 def signatures(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit set hash (h1, h2) and the band keys of each document."""
+    """doc_id, n_shingles, a 128-bit set hash (h1, h2), two sketches and the band keys of each document."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sign(params), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+        _sign(params), f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"
     )
 
 
@@ -176,72 +217,80 @@ def components(links: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. A pivot ``b`` of many pairs is dealt over copies."""
     share = 200
+    rows = pairs.count()
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
+    left = lookup_join(pairs, many, "b", rows=rows).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+    left = left.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
     right = many.join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    counted = lookup_join(left, many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    met = counted.drop("copies").join(right.drop("copies"), ["b", "salt"])
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    met = left.join(right, ["b", "salt"])
     both = F.size(F.array_intersect("a_items", "b_items"))
     union = F.size("a_items") + F.size("b_items") - both
     return met.where(100 * both.cast("long") >= threshold * union.cast("long")).select("a", "b")
 
 
-def _could_link(n: str, m: str, threshold: int):
-    """Sizes of which the smaller can be the threshold's share of the larger."""
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+def _could_link(x: str, y: str, params: MinHashParams):
+    """Sizes of which the smaller can be the threshold's share of the larger, and sketches that agree enough."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH]
+    close = differ[0] + differ[1] <= 128 - params.agree
+    # at the threshold t the symmetric difference is (100 - t) / (100 + t) of both sizes
+    odd = reduce(lambda a, b: a + b, differ[2:])
+    return (100 * F.least(n, m) >= params.threshold * F.greatest(n, m)) & close & (odd * (100 + params.threshold) <= (n + m) * (100 - params.threshold))
 
 
-def _pivot_pairs(members: DataFrame, salt: int, threshold: int) -> DataFrame:
+def _pivot_pairs(members: DataFrame, salt: int, params: MinHashParams, hot: list) -> DataFrame:
     """Every member with one pivot of its bucket, where their components differ."""
-    order = F.xxhash64("id", F.lit(salt)) if salt else F.col("id")
-    pivot = members.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "label"), order).alias("p"))
-    met = lookup_join(members, pivot, "bucket").where(F.col("label") != F.col("p.label"))
-    met = met.where(_could_link("n", "p.n", threshold))
-    return met.select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+    order = F.xxhash64("own.id", F.lit(salt)) if salt else F.col("own.id")
+    pivot = members.groupBy("bucket").agg(F.min_by(F.struct("own", "label"), order).alias("p"))
+    pivot = pivot.select("bucket", F.col("p.own").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    met = lookup_join(members, pivot, "bucket", hot=hot).where((F.col("label") != F.col("pivot_label")) & _could_link("own", "pivot", params))
+    return met.select(F.col("own.id").alias("a"), F.col("pivot.id").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, sizes: DataFrame, params: MinHashParams, hot: list) -> DataFrame:
     """All pairs of different components that share a bucket; large buckets are cut into blocks that meet pairwise."""
-    cut = lookup_join(members, sizes.select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "bucket")
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = cut.select("bucket", "id", "n", "label", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
-    right = cut.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"))
+    cut = lookup_join(members, sizes.select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "bucket", hot=hot)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("own.id"), F.col("blocks")).cast("int"))
+    left = cut.select("bucket", "own", "label", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = cut.select("bucket", F.col("own").alias("other"), F.col("label").alias("other_label"), F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"))
     met = left.join(right, ["bucket", "x", "y"]).where(
-        (F.col("label") != F.col("label2")) & ((F.col("x") != F.col("y")) | (F.col("id") < F.col("id2"))) & _could_link("n", "n2", threshold)
+        (F.col("label") != F.col("other_label")) & ((F.col("x") != F.col("y")) | (F.col("own.id") < F.col("other.id"))) & _could_link("own", "other", params)
     )
-    return met.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    return met.select(F.greatest("own.id", "other.id").alias("a"), F.least("own.id", "other.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     signed = checkpoint(signatures(docs, params))
-    classes = signed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
     classes = checkpoint(classes)
-    banded = classes.where("rep is not null and n_shingles > 0").select(
-        F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")
-    )
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = checkpoint(lookup_join(banded, shared.select("bucket"), "bucket"))
+    leads = classes.where("rep is not null and n_shingles > 0")
+    banded = leads.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    shared = checkpoint(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
+    least = max(HOT_ROWS, (shared.agg(F.sum("held")).first()[0] or 0) // MAX_HOT_KEYS + 1)
+    hot = [r[0] for r in shared.where(F.col("held") >= least).select("bucket").collect()]
+    members = lookup_join(banded, shared.select("bucket"), "bucket", hot=hot)
+    own = leads.select(F.col("rep").alias("id"), F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *SKETCH).alias("own"))
+    members = checkpoint(members.join(own, "id"))
     wanted = members.select("id").distinct()
     sets = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
-    sets = checkpoint(sets.mapInArrow(_full_sets(params.width), "id long, items array<long>").dropDuplicates(["id"]))
+    sets = checkpoint(sets.mapInArrow(_full_sets(params.width), "id long, items array<long>"))
     links, labels, known = None, None, members.withColumn("label", F.col("id"))
     for round_ in range(ROUNDS + 1):
         if labels is not None:
-            known = lookup_join(members, labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            known = known.select("bucket", "id", "n", "label")
+            known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
         sizes = checkpoint(sizes.where("held * held > within"))
-        left, cross = sizes.agg(F.coalesce(F.sum("held"), F.lit(0)), F.coalesce(F.sum((F.col("held") * F.col("held") - F.col("within")) / 2), F.lit(0))).first()
+        left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
         if not cross:
             break
-        open_ = lookup_join(known, sizes.select("bucket"), "bucket")
-        last = round_ == ROUNDS or (round_ > 0 and cross <= 4 * left)
-        pairs = _rest_pairs(open_, sizes, params.threshold) if last else _pivot_pairs(open_, round_, params.threshold)
+        open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
+        last = round_ == ROUNDS or (round_ > 0 and cross <= LAST_PAIRS * left)
+        pairs = _rest_pairs(open_, sizes, params, hot) if last else _pivot_pairs(open_, round_, params, hot)
         found = checkpoint(verified(checkpoint(pairs), sets, params.threshold))
-        links = found if links is None else checkpoint(links.unionByName(found))
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
             break
@@ -255,3 +304,13 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         "doc_id", F.col("set.n_shingles").alias("n_shingles"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+    """The rows, with all their columns, of one document per group. Rows with a null doc_id can't be told apart and stay."""
+    kept = near_duplicates(docs, params).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_"))
+    kept = checkpoint(kept)
+    known = docs.join(kept, "doc_id", "left_semi")
+    if not kept.where("rows_ > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
