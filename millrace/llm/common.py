@@ -43,6 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition of a checkpointed table that is read again and again.
+COMPACT_ROWS = 20_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """Checkpoint a table and deal its rows to as few partitions as they need; one needs no shuffle afterwards."""
+    out = checkpoint(df)
+    return out.coalesce(max(1, -(-out.count() // COMPACT_ROWS)))
+
+
 def hot_keys(left: DataFrame, key: str, rows: int | None = None) -> list:
     """Keys that more than HOT_ROWS rows of ``left`` hold; at most MAX_HOT_KEYS by the threshold itself."""
     total = left.count() if rows is None else rows

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import HOT_ROWS, MAX_HOT_KEYS, checkpoint, lookup_join
+from millrace.llm.common import HOT_ROWS, MAX_HOT_KEYS, checkpoint, compact, lookup_join
 from millrace.llm.wordhash import U64, mix64, shingles, slices, words
 
 #: 64-bit words of the parity sketch.
@@ -194,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
     group minimum (partially aggregated) and a skew-safe join.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = checkpoint(edges), None
+    edges, before = compact(edges), None
     while True:
         n, total = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if (n, total) == before or not n:
@@ -211,7 +211,7 @@ def components(links: DataFrame) -> DataFrame:
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             down.select("u", F.col("m").alias("v"))
         )
-        edges = checkpoint(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = compact(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -278,18 +278,20 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     sets = checkpoint(sets.mapInArrow(_full_sets(params.width), "id long, items array<long>"))
     links, labels, known = None, None, members.withColumn("label", F.col("id"))
     for round_ in range(ROUNDS + 1):
-        if labels is not None:
-            known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
-        sizes = checkpoint(sizes.where("held * held > within"))
-        left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
-        if not cross:
-            break
-        open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
-        last = round_ == ROUNDS or (round_ > 0 and cross <= LAST_PAIRS * left)
+        last, open_ = False, known
+        if round_:
+            known = members if labels is None else members.join(labels, "id", "left")
+            known = known.withColumn("label", F.coalesce("label", "id") if labels is not None else F.col("id"))
+            inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+            sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
+            sizes = checkpoint(sizes.where("held * held > within"))
+            left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
+            if not cross:
+                break
+            open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
+            last = round_ == ROUNDS or cross <= LAST_PAIRS * left
         pairs = _rest_pairs(open_, sizes, params, hot) if last else _pivot_pairs(open_, round_, params, hot)
-        found = checkpoint(verified(checkpoint(pairs), sets, params.threshold))
+        found = compact(verified(compact(pairs), sets, params.threshold))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
