@@ -299,6 +299,46 @@ def hit_rate_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.hit_rate(found, q.select("query_id", F.col("query_id").alias("item_id")), "query_id", "item_id", 3).select(F.round("hit_rate", 6).alias("hit_rate"))
 
 
+def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, with filter values around its own id."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.array("label").alias("labels"),
+        (F.col("vec_id") - 500).alias("lo"), (F.col("vec_id") + 1500).alias("hi"), (F.col("vec_id") % 4).alias("member"),
+    )
+
+
+_WHOLE_SQL = _VECTOR_SQL.replace("vec_id * 3 AS lo, vec_id * 10 + 200 AS hi", "vec_id - 500 AS lo, vec_id + 1500 AS hi").replace("WHERE vec_id < 20", "WHERE vec_id % 50 = 0")
+
+
+@query("vec_topk_whole", _WHOLE_SQL + _rank_sql("dot", 10))
+def vec_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 10))
+
+
+@query("vec_topk_filtered_whole", _WHOLE_SQL + _rank_sql("dot + soft", 5))
+def vec_topk_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 5, _FILTERS))
+
+
+@query("vec_two_stage_whole", _WHOLE_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY soft DESC, item_id) AS m FROM s), g AS (SELECT * FROM f WHERE m <= 50) " + _rank_sql("dot + soft", 10, "g"))
+def vec_two_stage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 10, _FILTERS, 50))
+
+
+@query("vec_euclid_whole", _WHOLE_SQL + _rank_sql("-sqrt(greatest(qq + ee - 2 * dot, 1e-6))", 5))
+def vec_euclid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 5, relevance=vector.negative_distance))
+
+
+@query("hit_rate_at_k_whole", _WHOLE_SQL + """, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, item_id) AS rank FROM s)
+SELECT round(avg(CASE WHEN h.query_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate FROM q LEFT JOIN (SELECT DISTINCT query_id FROM r WHERE rank <= 3 AND item_id = query_id) h USING (query_id)""")
+def hit_rate_at_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _whole_queries(spark, sf_dir)
+    found = vector.search(q, _items(spark, sf_dir), "query_id", "item_id", 3)
+    return vector.hit_rate(found, q.select("query_id", F.col("query_id").alias("item_id")), "query_id", "item_id", 3).select(F.round("hit_rate", 6).alias("hit_rate"))
+
+
 @query("log_q_correction", "SELECT label, round(ln(1 - pow(1 - p, 64)), 6) AS c FROM (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS p FROM embeddings GROUP BY label)")
 def log_q_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")

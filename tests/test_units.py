@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays, transforms
 from millrace.operators import console, criteria, prep, schedule, selectors, vector
+from millrace.plans import features, registry  # noqa: F401
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -166,3 +167,28 @@ def test_assembled_collision(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):
         prep.assembled(df, {"id": F.lit(1)}, raise_on_collision=True)
+
+
+def test_whole_vector_queries_take_their_share_of_the_table(spark, tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    first = 10**12
+    vectors = {first + i: [r.uniform(-1, 1) for _ in range(3)] for i in range(2_400)}
+    spark.createDataFrame([(i, v, i % 5) for i, v in vectors.items()], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 20)  # three blocks
+    asked = [i for i in vectors if i % 50 == 0]
+    dot = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True))
+    soft = lambda q, i: (q % 5 == i % 5) - 1 + (i % 4 == q % 4) + (i % 3 == q % 4) - 1 - (i < q - 500) - (i > q + 1500)
+    score = lambda q, i: dot(q, i) + soft(q, i)
+    best = lambda q, of, k, found=vectors: sorted(found, key=lambda i: (-of(q, i), i))[:k]
+    ranks = lambda name: {(x.query_id, x.rank): x.item_id for x in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = lambda found: {(q, k + 1): i for q in asked for k, i in enumerate(found(q))}
+    assert len(asked) == 48
+    assert ranks("vec_topk_whole") == want(lambda q: best(q, dot, 10))
+    assert ranks("vec_topk_filtered_whole") == want(lambda q: best(q, score, 5))
+    assert ranks("vec_two_stage_whole") == want(lambda q: best(q, score, 10, best(q, soft, 50)))
+    far = lambda q, i: -max(dot(q, q) + dot(i, i) - 2 * dot(q, i), 1e-6)
+    assert ranks("vec_euclid_whole") == want(lambda q: best(q, far, 5))
+    share = sum(q in best(q, dot, 3) for q in asked) / len(asked)
+    assert registry.QUERIES["hit_rate_at_k_whole"](spark, str(tmp_path)).first().hit_rate == round(share, 6)
