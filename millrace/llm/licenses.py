@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is reduced to its words (ASCII letters and digits, and all non-ASCII characters; A-Z lower-cased) with
-one space around each. Texts without any gate keyword are done at once. In the others every rule whose
-keyword occurs as a word is run: its regular expression gives intervals of words. A detection
+one space around each. Texts in which no word begins with a rule's keyword are done at once. In the others
+every rule whose keyword begins a word is run: its regular expression gives intervals of words. A detection
 that lies inside another one is suppressed, as is one that overlaps a detection of higher priority; of equal
 intervals the higher priority, then the earlier rule stays.
 
@@ -24,9 +24,7 @@ from pyspark.sql import functions as F
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 BASE_SCORE = 0.9
 
-#: Substrings of lower-cased text, one of which every license text has.
-GATE = ("licen", "apache", "copyright", "copyleft", "spdx", "gpl", "creative", "public domain", "cc0")
-#: Words of which one has to occur for a family's rules: label, keyword, name (words as a regular expression).
+#: Label, keyword, name (words as a regular expression). The keyword begins a word of whatever the name matches.
 FAMILIES = (
     ("mit", "mit", "mit"), ("mit-0", "mit", "mit (?:0|no attribution)"), ("x11", "x11", "(?:x11|mit x11)"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"), ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
@@ -93,6 +91,12 @@ def _bounded(expression: str) -> str:
     return f"(?<= )(?:{expression})(?= )"
 
 
+def _gate(keywords: list[str], base: tuple[tuple[str, str], ...]) -> str:
+    """Of the raw text: some word begins with a keyword, or with a word of each base phrase."""
+    starts = keywords + [max(p.split(), key=len) for p, _ in base if not set(p.split()) & set(keywords)]
+    return f"(?i)(?:^|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])(?:{'|'.join(dict.fromkeys(starts))})"
+
+
 def _intervals(text: Column, expression: Column, rule: Column) -> Column:
     """(start, end, rule) of each match, in words from 0; the end is the last word."""
     between, found = F.split(text, expression, -1), F.regexp_extract_all(text, expression, F.lit(0))
@@ -136,20 +140,15 @@ def scanned(docs: DataFrame, chosen: list[Rule] | None = None, base: tuple[tuple
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections of each row."""
     chosen = rules() if chosen is None else chosen
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = F.lower("text")
-    gate = F.lit(False)
-    for word in GATE:
-        gate = gate | F.contains(low, F.lit(word))
-    # the base phrase without any other keyword; non-ASCII letters do not separate
-    gate = gate | (F.contains(low, F.lit("cc")) & F.rlike("text", F.lit("(?i)cc[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+by")))
-    gate = gate | F.contains(low, F.lit("domain")) | F.contains(low, F.lit("redistribution")) | F.contains(low, F.lit("free of charge")) | F.contains(low, F.lit("all rights"))
+    words = list(dict.fromkeys(r.keyword for r in chosen))
+    gate = F.rlike("text", F.lit(_gate(words, base)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n_words = F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")
     rows = rows.select("doc_id", n_words.alias("n_words"), F.when(gate, normalised(F.col("text"))).alias("words"))
     any_base = _bounded("|".join(p for p, _ in base))
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r.keyword for r in chosen)])
+    keywords = F.array(*[F.lit(k) for k in words])
     map_ = _rule_map(chosen)
-    hits = F.flatten(F.transform(F.filter(keywords, lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k, F.lit(" ")))), lambda k: F.element_at(map_, k)))
+    hits = F.flatten(F.transform(F.filter(keywords, lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k))), lambda k: F.element_at(map_, k)))
     found = F.flatten(F.transform(hits, lambda r: _intervals(F.col("words"), r["expression"], r)))
     has = F.col("words").isNotNull()
     rows = rows.select(

@@ -299,6 +299,49 @@ def test_licenses_match_brute_force(spark, docs, none):
     assert licenses.scanned(none).count() == 0
 
 
+def expansions(node):
+    """Texts of a parsed expression: each branch, and each optional part left out and taken once."""
+    from itertools import product
+
+    out = [""]
+    for op, arg in node:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            more = ["q"]
+        elif op == "IN":
+            more = [chr(arg[0][1])]
+        elif op == "BRANCH":
+            more = [x for b in arg[1] for x in expansions(b)]
+        elif op == "SUBPATTERN":
+            more = expansions(arg[3])
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT")
+            more = ([""] if arg[0] == 0 else []) + expansions(arg[2])
+        out = [a + b for a, b in product(out, more)]
+    return out
+
+
+def test_licenses_need_no_gate_or_keyword(spark):
+    from dataclasses import replace
+
+    rules = [(r, re.compile(licenses._bounded(r.expression))) for r in licenses.rules()]
+    texts = ["Released under MIT.", "Distributed under the BSD 3-Clause", "Published under the MPL 2.0", "provided under ISC", "Released under GPL3", "Licensed under Apache2", "LGPL3 license", "under AGPL3 licence", "all\nrights reserved", "free\tof charge", "Permission is hereby granted, free\nof charge, to any person obtaining a copy", "mitigated under licence"]
+    r = random.Random(2)
+    for rule, _ in rules:
+        made = sorted(set(expansions(re._parser.parse(rule.expression))))
+        texts += r.sample(made, min(3, len(made)))
+    texts = [x.replace(" ", r.choice([" ", "-", "\n"])).title() if i > 11 and i % 2 else x for i, x in enumerate(texts)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels) for x in licenses.scanned(df).collect()}
+    # the first word as keyword: every rule is run on every text
+    first = lambda t: re.findall(r"[0-9a-z]+", t.lower())[0]
+    want = {i: brute_licenses(t, [(replace(rule, keyword=first(t)), e) for rule, e in rules]) for i, t in enumerate(texts)}
+    assert got == want
+    assert {texts[i] for i, w in want.items() if not w[-1]} == {"free\tof charge", "mitigated under licence"}
+
+
 def test_folding():
     assert toxicity.fold("You 1d10t, М0r0n! $tupid") == " you idiot moron stupid "
     assert toxicity.fold(None) == "  " and toxicity.fold("A1B2 2024") == " aib2 2024 "
