@@ -190,8 +190,8 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 3_000) -> Model:
-    """A model of labelled rows whose crc32(doc_id) mod 5 is not 0: at most ``max_rows`` rows and ``max_entries`` learned entries."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
+    """A model of labelled rows whose crc32(doc_id) mod 5 is not 0: at most ``max_rows`` rows, and all the entries that they show to be toxic."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entrie
     toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
     ratio = F.log(((toxic + 0.5) / float(docs_by_kind[[1, 3]].sum() + 1)) / ((clean + 0.5) / float(docs_by_kind[[0, 2]].sum() + 1)))
     wanted = F.col("entry").isin(list(base_weights())) | ((toxic >= 4) & (ratio > 0.7))
-    found = [r.asDict() for r in sums.where(wanted).orderBy(F.desc(toxic * ratio), "entry").limit(max_entries).collect()]
+    found = [r.asDict() for r in sums.where(wanted).orderBy("entry").collect()]  # bounded by max_rows
     halves = [_lexicon(found, (1,), docs_by_kind, 3), _lexicon(found, (0,), docs_by_kind, 3)]
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

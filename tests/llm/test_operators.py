@@ -435,3 +435,13 @@ def test_pipeline(spark, sf_dir):
     assert mix.columns == seen.columns and mix.select("doc_id").distinct().exceptAll(docs.select("doc_id")).isEmpty()
     placed = corpus_pipeline.shard(spark, mix, sf_dir)
     assert Counter(r.doc_id for r in placed.collect()) == Counter(r.doc_id for r in mix.collect())
+
+
+def test_toxicity_lexicon_has_every_toxic_word(spark):
+    r = random.Random(4)
+    marks = sorted({"".join(r.choice("bcdfghjklm") for _ in range(8)) for _ in range(900)})
+    rows = [(i, " ".join(marks[i // 8 % 30 :: 30]) if i % 2 else f"a plain text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    learned = set(model.weights) - set(toxicity.base_weights())
+    assert {f" {w} " for w in marks} <= learned and len(learned) > 3_000
