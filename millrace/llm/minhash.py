@@ -50,7 +50,7 @@ class MinHashParams:
 
     Two sketches spare pairs the verification. Of each of the first 128 coordinates one bit is kept: sets
     at 75 % agree in 112 of the 128 bits (standard deviation 3.7), and pairs that agree in fewer than
-    ``agree`` are left out (a pair at 75 % with probability below 1e-9). And of each of 512 cells over which the
+    ``agree`` are left out (a pair at 75 % with probability of about 6.5e-9). And of each of 512 cells over which the
     shingles are scattered the parity of their number is kept: the cells that differ are at most the
     shingles that differ, so pairs with too many of them surely are below the threshold.
     """
