@@ -11,10 +11,19 @@ of its bucket whose component differs, verifies on full sets and joins component
 different components are left in shared buckets, all of those are verified (in blocks), so every
 bucket pair ends in one component or is known not to be a link.
 
+Where many pairs stay open in shared buckets after the pivots, the open members are dealt anew by an exact
+prefix filter: two sets at the threshold share one of the rarest shingles of both, so wide buckets
+of texts that only look alike fall apart before pairs are listed.
+
 Null, empty and blank texts have the empty set (``n_shingles`` 0) and are linked with nothing; a
-document with fewer words than the shingle width has its whole word sequence as one shingle; repeated
-rows of one doc_id give repeated output rows and are one vertex, whatever their texts; rows with a null
-doc_id never lead a group.
+document with fewer words than the shingle width has its whole word sequence as one shingle. Rows of one
+doc_id give one output row each and are one vertex: whatever texts they hold, they join their groups, and
+``deduplicated`` keeps one row of them at most. Rows with a null doc_id take the group of an equal text but
+never lead or join groups; without such a text their component is null. Extra columns of any name and
+texts of any length are fine; an empty table gives no rows.
+
+Sets hold 64-bit shingle hashes, so n_shingles and links are exact up to collisions of these (a set of
+20,000 shingles has one with probability of about 1e-11).
 """
 
 from __future__ import annotations
@@ -137,8 +146,9 @@ def _sign(params: MinHashParams):
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
                 n = end - at
-                own = np.array(ids.slice(at, n).fill_null(-1), np.int64)
-                h1, h2 = own.copy(), ~own
+                own = np.array(ids.slice(at, n).fill_null(0), np.int64)
+                # empty sets are told apart by their ids; without id the two halves are alike, which no id gives
+                h1, h2 = own.copy(), np.where(np.array(ids.slice(at, n).is_null()), own, ~own)
                 keys = np.zeros(0, U64)
                 sketch = np.zeros((n, len(SKETCH)), np.int64)
                 if len(full):
@@ -260,6 +270,37 @@ def _rest_pairs(members: DataFrame, sizes: DataFrame, params: MinHashParams, hot
     return met.select(F.greatest("own.id", "other.id").alias("a"), F.least("own.id", "other.id").alias("b")).distinct()
 
 
+def _hot_buckets(sizes: DataFrame) -> list:
+    """Buckets that a lookup join treats as hot. ``sizes``: bucket, held."""
+    least = max(HOT_ROWS, (sizes.agg(F.sum("held")).first()[0] or 0) // MAX_HOT_KEYS + 1)
+    return [r[0] for r in sizes.where(F.col("held") >= least).select("bucket").collect()]
+
+
+def _several_texts(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of doc_ids that lie on several texts; None where there are none."""
+    set_ = F.struct("h1", "h2", "n_shingles")
+    many = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_).alias("x"), F.max(set_).alias("y")).where("x != y")
+    many = compact(many.select("doc_id"))
+    if many.isEmpty():
+        return None
+    held = signed.join(many, "doc_id").select("doc_id", "h1", "h2", "n_shingles").distinct()
+    return compact(held.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+
+
+def _prefix_members(wide: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """bucket and own of each text by each of its rarest shingles, as many as a set at the threshold may lack and one.
+
+    Two sets at the threshold share ceil(threshold * n / 100) shingles at least of either's n, so in
+    one common order they share one of the first n - ceil(threshold * n / 100) + 1 of both.
+    """
+    items = wide.select("own", F.col("own.id").alias("id")).join(sets, "id").select("own", F.explode("items").alias("x"))
+    often = checkpoint(items.groupBy("x").agg(F.count(F.lit(1)).alias("f")))
+    ranked = lookup_join(items, often, "x").groupBy("own").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    n = F.size("xs")
+    keep = n - F.ceil(n * F.lit(threshold) / 100).cast("int") + 1
+    return checkpoint(ranked.select("own", F.explode(F.slice("xs", F.lit(1), keep)).alias("e")).where("e.f > 1").select(F.col("e.x").alias("bucket"), "own"))
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     signed = checkpoint(signatures(docs, params))
@@ -268,33 +309,46 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     leads = classes.where("rep is not null and n_shingles > 0")
     banded = leads.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     shared = checkpoint(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
-    least = max(HOT_ROWS, (shared.agg(F.sum("held")).first()[0] or 0) // MAX_HOT_KEYS + 1)
-    hot = [r[0] for r in shared.where(F.col("held") >= least).select("bucket").collect()]
+    hot = _hot_buckets(shared)
     members = lookup_join(banded, shared.select("bucket"), "bucket", hot=hot)
     own = leads.select(F.col("rep").alias("id"), F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), *SKETCH).alias("own"))
-    members = checkpoint(members.join(own, "id"))
-    wanted = members.select("id").distinct()
+    members = checkpoint(members.join(own, "id").select("bucket", "own"))
+    wanted = members.select(F.col("own.id").alias("id")).distinct()
     sets = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
     sets = checkpoint(sets.mapInArrow(_full_sets(params.width), "id long, items array<long>"))
-    links, labels, known = None, None, members.withColumn("label", F.col("id"))
-    for round_ in range(ROUNDS + 1):
-        last, open_ = False, known
-        if round_:
-            known = members if labels is None else members.join(labels, "id", "left")
-            known = known.withColumn("label", F.coalesce("label", "id") if labels is not None else F.col("id"))
+    links, labels = _several_texts(signed, classes), None
+    if links is not None:
+        labels = components(links)
+    for stage in (members, None):
+        if stage is None:
+            # what is still open meets by the rarest shingles instead of the bands
+            wide = checkpoint(open_.select("own").distinct())
+            members = _prefix_members(wide, sets, params.threshold)
+            hot = _hot_buckets(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")))
+        done = False
+        for round_ in range(ROUNDS + 1):
+            known = members.join(labels, members["own.id"] == labels["id"], "left").drop("id") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
+            known = known.select("bucket", "own", F.coalesce("label", "own.id").alias("label"))
             inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
             sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
             sizes = checkpoint(sizes.where("held * held > within"))
             left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
             if not cross:
+                done = True
                 break
             open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
-            last = round_ == ROUNDS or cross <= LAST_PAIRS * left
-        pairs = _rest_pairs(open_, sizes, params, hot) if last else _pivot_pairs(open_, round_, params, hot)
-        found = compact(verified(compact(pairs), sets, params.threshold))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if last:
+            few = cross <= LAST_PAIRS * left
+            if round_ == ROUNDS and not few and stage is not None:
+                break
+            last = few or round_ == ROUNDS
+            pairs = _rest_pairs(open_, sizes, params, hot) if last else _pivot_pairs(open_, round_, params, hot)
+            found = compact(verified(compact(pairs), sets, params.threshold))
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            if last:
+                done = True
+                break
+        if done:
             break
     grouped = classes.select("h1", "h2", "n_shingles", F.col("rep").alias("id"))
     if labels is not None:
@@ -310,9 +364,15 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 
 def deduplicated(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """The rows, with all their columns, of one document per group. Rows with a null doc_id can't be told apart and stay."""
-    kept = near_duplicates(docs, params).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_"))
-    kept = checkpoint(kept)
-    known = docs.join(kept, "doc_id", "left_semi")
-    if not kept.where("rows_ > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
+    kept = checkpoint(near_duplicates(docs, params).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    known = docs.join(kept.select("doc_id"), docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    twice = checkpoint(kept.where("n > 1").select(F.col("doc_id").alias("id_")))
+    if not twice.isEmpty():
+        own = docs["doc_id"].cast("long")
+        once = known.join(twice, own == twice["id_"], "left_anti")
+        # of rows that share the kept doc_id, the one of least hash: which one it is does not depend on the partitioning
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = known.join(twice, own == twice["id_"], "left_semi").select(own.alias("id_"), whole.alias("row_"))
+        again = again.groupBy("id_").agg(F.min_by("row_", F.struct(F.xxhash64("row_.text"), F.hash("row_"))).alias("row_"))
+        known = once.unionByName(again.select("row_.*"))
     return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -112,9 +112,40 @@ def test_minhash_rest_pairs_equal_rounds(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want
     monkeypatch.setattr(minhash, "LAST_PAIRS", 0)
+    monkeypatch.setattr(minhash, "ROUNDS", 2)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_minhash_one_id_on_several_texts(spark):
+    """A doc_id is one vertex: its texts join their groups, and one row of a group stays."""
+    r, vocab = random.Random(11), vocabulary(800)
+    x, y, z = (" ".join(r.choice(vocab) for _ in range(60)) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (9, y), (11, z), (11, ""), (12, ""), (None, ""), (None, z), (None, "its own text of more than five words"), (-1, ""), (13, None), (13, None)]
+    df = spark.createDataFrame([(i, t, 0, "b") for i, t in rows], "doc_id long, text string, id_ int, label string")
+    got = Counter((q.doc_id, q.n_shingles > 0, q.component_id) for q in minhash.near_duplicates(df).collect())
+    assert got == Counter([(3, True, 3), (5, True, 3), (5, True, 3), (9, True, 3), (11, True, 11), (11, False, 11), (12, False, 12), (None, False, None), (None, True, 11), (None, True, None), (-1, False, -1), (13, False, 13), (13, False, 13)])
+    kept = minhash.deduplicated(df.drop("id_")).where("doc_id is not null").collect()
+    assert sorted(q.doc_id for q in kept) == [-1, 3, 11, 12, 13] and next(q.text for q in kept if q.doc_id == 3) == x
+
+
+def test_minhash_wide_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    """Pages of one template that are no near copies share buckets; pivots settle none, the prefix filter does."""
+    r, vocab = random.Random(12), vocabulary(4000)
+    base = [r.choice(vocab) for _ in range(140)]
+    rows = [(i, " ".join(base + [r.choice(vocab) for _ in range(60)])) for i in range(60)]
+    rows += [(100 + i, t + " one more word") for i, (_, t) in enumerate(rows[:5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert len(set(want.values())) == 60
+    monkeypatch.setattr(minhash, "LAST_PAIRS", 0)
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    listed = []
+    real = minhash._rest_pairs
+    monkeypatch.setattr(minhash, "_rest_pairs", lambda o, *a: listed.append(o.count()) or real(o, *a))
+    assert {q.doc_id: q.component_id for q in minhash.near_duplicates(df).collect()} == want
+    assert listed == [] or max(listed) < 60
+
+
 def test_mix_invariants(spark, docs, none, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
