@@ -12,9 +12,12 @@ over bounded blocks of a source; the one residual of each block goes to the next
 to one, until each source has one residual, which is drawn by its probability. So a source's taken
 words miss its target by less than one document.
 
-All draws come from a hash of the seed and the documents met, blocks from a hash of the doc_id, so
-reruns agree. Null text has size 0 (taken 0); a null source is a source of its own, ranked last;
-repeated rows are documents of their own. An empty table gives no rows.
+All draws come from a hash of the seed and the documents met. Documents alike in doc_id, source and
+size are interchangeable: they are counted, then numbered, and blocks are dealt by a hash of all of this, so a null or
+repeated doc_id spreads over blocks like others and reruns agree whatever the partitioning. Null text has
+size 0 (taken 0); a null source is a source of its own, ranked last; repeated rows and null ids are documents of
+their own. Extra columns of any name are kept by ``taken_rows``; texts are counted whole whatever their length.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, lookup_join, ordered, partition_offsets
 
-#: Documents of all sources that share a block number, about.
-BLOCK_ROWS = 50_000
+#: Documents of all sources that share a block number, about. A block of one source is one group of a task.
+BLOCK_ROWS = 2_000
+#: Alike documents that one row stands for while they are numbered.
+NUMBERED = 100_000
 #: Blocks whose residuals meet on the next level of the tree.
 FAN_IN = 64
 
@@ -119,11 +124,28 @@ def source_targets(sources: DataFrame, weights: list[float], factor: float, cap:
     return known.select("source", "source_size", F.least(F.col("w") * F.lit(level), F.col("most")).alias("target"))
 
 
+def _key(docs: DataFrame) -> list[Column]:
+    """doc_id, source and size (words of the whole text) of each row."""
+    text = F.col("text").cast("string")
+    words = F.size(F.split(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), "[\\x20\\x09-\\x0D]+", -1)) - 2
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size")]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Every row with a number from 0 among the rows alike; many alike are numbered in shares, each a row of its own."""
+    counts = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    last = F.floor((F.col("n") - 1) / NUMBERED).cast("long")
+    shares = counts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if not counts.where(F.col("n") > NUMBERED).isEmpty():
+        shares = shares.repartition("doc_id", "source", "size", "share")
+    first = F.col("share") * NUMBERED
+    number = F.explode(F.sequence(first, F.least(first + NUMBERED, F.col("n")) - 1))
+    return shares.select("doc_id", "source", "size", number.alias("number"))
+
+
 def mixed(docs: DataFrame, weights: list[float] = [3, 1, 2], factor: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target (of its source), copies, taken."""
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
-    rows = checkpoint(rows)
+    rows = checkpoint(_numbered(docs.select(*_key(docs))))
     n = rows.count()
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, list(weights), factor, cap).withColumn("name", F.struct("source"))
@@ -131,7 +153,7 @@ def mixed(docs: DataFrame, weights: list[float] = [3, 1, 2], factor: float = 1.5
     rows = lookup_join(rows.withColumn("name", F.struct("source")).drop("source"), targets, "name", rows=n)
     whole = F.floor(rate).cast("long")
     blocks = max(1, -(-n // BLOCK_ROWS))
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", "number")
     level = rows.select(
         "doc_id", "size", "source", "source_size", "target", whole.alias("whole"), order.alias("order_"),
         F.when(F.col("size") > 0, rate - whole).otherwise(F.lit(0.0)).alias("p"), F.pmod(order, F.lit(blocks)).alias("block"),
@@ -152,14 +174,28 @@ def mixed(docs: DataFrame, weights: list[float] = [3, 1, 2], factor: float = 1.5
 
 
 def taken_rows(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: the rows, with all their columns, each as often as it is taken."""
-    picks = mixed(docs, **params).groupBy(F.col("doc_id").alias("key_")).agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
+    """The mix itself: the rows, with all their columns, each as often as it is taken.
+
+    Rows alike in doc_id, source and size share their copies as evenly as can be, in the order of a hash of the row.
+    """
+    alike = F.struct(*_key(docs))
+    picks = mixed(docs, **params).groupBy(F.struct("doc_id", "source", "size").alias("alike")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     picks = checkpoint(picks)
-    met = docs.join(picks, docs["doc_id"].cast("long").eqNullSafe(picks["key_"]))
-    times = F.col("copies_")
-    if not picks.where("rows_ > 1").isEmpty():
-        # rows that share a doc_id share its copies as evenly as can be
-        turn = F.row_number().over(Window.partitionBy("key_").orderBy(F.xxhash64(*docs.columns)))
-        met = met.withColumn("turn_", turn)
-        times = F.floor(F.col("copies_") / F.col("rows_")) + (F.col("turn_") <= F.col("copies_") % F.col("rows_")).cast("long")
-    return met.withColumn("again_", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(docs.columns)
+    # the row itself is one column, so its own names can't clash
+    whole = docs.select(alike.alias("alike"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if picks.where("rows > 1").isEmpty():
+        met = lookup_join(whole, picks, "alike", hot=[]).withColumn("times", F.col("copies"))
+    else:
+        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        keyed = whole.withColumns({"by": F.xxhash64("alike"), "hash": F.xxhash64("row"), "at": F.monotonically_increasing_id()})
+        line = ordered(keyed, ["by", "hash", "at"], parts)
+        # rows before a row's partition, and before it inside the partition, that have its key
+        held = line.groupBy("pid_", "alike").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("alike").orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = held.select("pid_", "alike", before.alias("before"))
+        inside = F.row_number().over(Window.partitionBy("pid_", "alike").orderBy("hash", "at"))
+        placed = line.withColumn("turn", inside).join(starts, ["pid_", "alike"])
+        met = lookup_join(placed, picks, "alike")
+        turn = F.col("before") + F.col("turn")
+        met = met.withColumn("times", F.floor(F.col("copies") / F.col("rows")) + (turn <= F.col("copies") % F.col("rows")).cast("long"))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("again")).select("row.*")

@@ -6,8 +6,12 @@ per partition gives each partition its offset, and the running total inside it c
 prefix sum. A document goes to the shard in whose equal share of all bytes its middle byte falls, so
 every cut is within half a document of its target and shards are contiguous in the order.
 
+The law is ``bytes``: a group of equal texts is contiguous and lies in one shard unless a cut falls into
+it, which parts it over neighbouring shards; sizes of shards differ by less than two documents, however large a group is.
+
 A document's size is its UTF-8 bytes plus 8 (null text has no bytes and the checksum of nothing);
-repeated rows and null ids are placed like others. An empty table gives no rows.
+repeated rows and null ids are placed like others, a document larger than a shard's share takes its shard
+alone and may leave neighbours empty, extra columns of any name are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, ordered, partition_offsets
 
-#: Rows of a range partition, about.
-PARTITION_ROWS = 500_000
-
 
 def _place(shards: int, total: int):
     """Shard of each row of one sorted partition, and the row's number among the partition's rows of that shard."""
@@ -73,7 +74,7 @@ def byte_balanced(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     placed = checkpoint(placed)
     counts = placed.groupBy("shard", "pid_").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.alias("a").join(counts.alias("b"), F.expr("a.shard = b.shard and b.pid_ < a.pid_"), "left")
-    starts = starts.groupBy("a.shard", "a.pid_").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))
+    earlier = Window.partitionBy("shard").orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "pid_", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     out = placed.join(F.broadcast(starts), ["shard", "pid_"])  # partitions plus shards rows at most
     return out.select("doc_id", "size", "crc", "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"))

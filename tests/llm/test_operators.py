@@ -166,6 +166,56 @@ def test_mix_invariants(spark, docs, none, monkeypatch):
     assert taken.count() == sum(r.copies for r in got)
 
 
+def brute_mix(rows, seed=42, block_rows=4, fan_in=2):
+    """The mix in plain Python: targets by refilling, blocks and levels of the tree one by one."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = Counter()
+    for _, s, t in rows:
+        total[s] += size(t)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(order)}
+    capped = set()
+    while True:
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in capped)
+        open_ = sum(weight[s] for s in order if s not in capped)
+        over = {s for s in order if s not in capped and weight[s] * rest / open_ >= 2 * total[s]}
+        if not over or capped | over == set(order):
+            break
+        capped |= over
+    return {s: 2 * total[s] if s in capped or s in over else weight[s] * rest / open_ for s in order}, total
+
+
+def test_mix_matches_brute_force(spark, docs):
+    """Targets, sizes and the law of copies against plain Python; null and repeated ids, clashing columns."""
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()] + [(None, "s1", f"{'w ' * (i % 7)}x") for i in range(60)] + [(77, "s2", "a b c")] * 9
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, source string, text string, copies long, `row` int")
+    want, total = brute_mix(rows)
+    got = mixing.mixed(df).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, size(t)) for i, s, t in rows)
+    for s, n in total.items():
+        own = [r for r in got if r.source == s]
+        assert {r.source_size for r in own} == {n} and own[0].target == pytest.approx(want[s])
+        rate = want[s] / n if n else 0
+        assert all(r.taken in (int(rate) * r.size, (int(rate) + 1) * r.size) for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) < max(r.size for r in own) + 1e-6
+    taken = Counter(r for r in mixing.taken_rows(df).collect())
+    assert sum(taken.values()) == sum(r.copies for r in got) and set(taken) <= set(df.collect())
+    by = Counter()
+    for r in got:
+        by[r.doc_id, r.source, r.size] += r.copies
+    assert {(k.doc_id, k.source, size(k.text)): n for k, n in taken.items() if k.doc_id == 6} == {k: n for k, n in by.items() if k[0] == 6 and n}
+
+
+def test_a_null_id_spreads_over_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(None if i < 300 else i, "s", f"{'w ' * (i % 3)}x") for i in range(350)], "doc_id long, source string, text string")
+    rows = mixing._numbered(df.select(*mixing._key(df)))
+    blocks = Counter(r.b for r in rows.select(F.pmod(F.xxhash64(F.lit(42), "doc_id", "size", "number"), F.lit(35)).alias("b")).collect())
+    assert sum(blocks.values()) == 350 and max(blocks.values()) < 30
+    monkeypatch.setattr(mixing, "NUMBERED", 7)
+    assert mixing._numbered(df.select(*mixing._key(df))).distinct().count() == 350
+
+
 def test_pivot_keeps_mass_and_expectation():
     for u in (0.0, 0.3, 0.999):
         a, b = [1, 30, 0.4], [2, 70, 0.7]
@@ -242,12 +292,23 @@ def test_stream_dedup_matches_brute_force(spark, docs, tmp_path):
     for r in rows:
         keep.setdefault(r.text or "", []).append(r.doc_id)
     want = Counter((r.doc_id, max(keep[r.text or ""]), len(keep[r.text or ""]), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows)
-    for size in (64 << 30, 1):  # one micro-batch, and one per file
+    for size in (None, 64 << 30, 1):  # some micro-batches, one, and one per file
         got = stream_dedup.exact_duplicates(spark, path, size).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_stream_dedup_odd_paths_and_inputs(spark, tmp_path):
+    path = str(tmp_path / "docs [1]{a}")
+    rows = [(None, "same"), (4, "same"), (5, None), (None, ""), (7, "own " * 100_000), (7, "own " * 100_000)]
+    spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, `row` int").repartition(2).write.parquet(path)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in stream_dedup.exact_duplicates(spark, path + "/").collect())
+    assert got == Counter([(None, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True), (None, 5, 2, False), (7, 7, 2, True), (7, 7, 2, True)])
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(empty)
+    assert stream_dedup.exact_duplicates(spark, empty).count() == 0
+
+
 def test_stream_dedup_survives_a_digest_collision(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "docs")
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id long, text string").write.parquet(path)
