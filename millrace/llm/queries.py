@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch
+from millrace.llm.common import checkpoint, remove, scratch
 from millrace.llm import chat, decontaminate, licenses, minhash, mixing, shards, stream_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +81,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.normalise(spark, mono, normal)
     back = warc.read_records(warc.read_index(spark, normal))
     page = lambda c: F.regexp_extract(c, "urn:x-page:(-?[0-9]+)", 1).cast("long")
-    return back.select(
+    out = back.select(
         page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
         F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"),
     )
+    out = checkpoint(out)
+    remove(spark, mono, normal)  # the archives have been read back
+    return out
 
 
 @_query("op4_prefix_sum_shards")

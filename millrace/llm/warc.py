@@ -9,8 +9,13 @@ Of pages with equal payloads of at least ``least`` bytes, the one with the small
 record, the others are ``revisit`` records that carry the payload's digest and size but not the payload.
 Null html is an empty payload and null urls an empty target; pages with a null page_id are written as
 responses and never referred to; repeated rows with equal payloads become one response and revisits of it.
-An empty table gives an empty archive. Archives and indexes lie in the folder given, which all
-executors must share.
+An empty table gives an empty archive. Extra columns of any name are left out; payloads of any length stream
+through in pieces of bounded size, one record at a time in memory. Archives and indexes lie in the folder given,
+which all executors must share.
+
+Every attempt of a task writes files of its own name and nothing is renamed. The index rows that come back name
+the archives of the finished attempts; the manifest written from them is the commit, and readers take no
+other file. What lost or doubled attempts left behind is deleted after the commit and could not be read before.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, lookup_join
@@ -36,6 +41,9 @@ READ = 1 << 20
 #: Bytes of neighbouring records that one read fetches at most.
 SPAN = 1 << 22
 
+#: Inflated bytes that are held at a time besides the record they belong to.
+PIECE = 1 << 20
+
 INDEX = "path string, record_id string, offset long, length long"
 
 
@@ -117,14 +125,21 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or several members."""
-    box = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or several members, in pieces of PIECE bytes at most."""
+    box, fresh = zlib.decompressobj(31), True
     while raw := stream.read(READ):
         while raw:
-            yield box.decompress(raw)
-            raw = box.unused_data
+            piece = box.decompress(raw, PIECE)
+            fresh = False
+            if piece:
+                yield piece
+            raw = box.unconsumed_tail
             if box.eof:
-                box = zlib.decompressobj(31)
+                raw, box, fresh = box.unused_data, zlib.decompressobj(31), True
+    while not fresh and not box.eof:
+        if not (piece := box.decompress(box.unconsumed_tail, PIECE)):
+            raise ValueError("the archive ends inside a gzip member")
+        yield piece
 
 
 def _normalise(target: str, level: int):
@@ -132,31 +147,27 @@ def _normalise(target: str, level: int):
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 name = source.rsplit("/", 1)[1].removesuffix(".txt.gz")
-                done = f"{target}/{name}.warc.gz"
+                done = f"{target}/{name}.{uuid.uuid4().hex}.warc.gz"
                 fs, inner = _open(source)
                 out_fs, out = _open(done)
-                # a retried or doubled task writes its own file and then takes the name
-                part = f"{out}.{uuid.uuid4().hex}.part"
                 out_fs.create_dir(out.rsplit("/", 1)[0], recursive=True)
-                index, at = {"record_id": [], "offset": [], "length": []}, 0
-                with fs.open_input_stream(inner, compression=None) as stream, out_fs.open_output_stream(part, compression=None) as sink:
+                ids, offsets, lengths, at = [], [], [], 0
+                with (
+                    fs.open_input_stream(inner, compression=None) as stream,
+                    out_fs.open_output_stream(out, compression=None) as sink,
+                    out_fs.open_output_stream(f"{out}.idx", compression=None) as index,
+                ):
                     for headers, record in split_records(_inflated(stream)):
                         box = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = box.compress(record) + box.flush()
                         sink.write(member)
-                        index["record_id"].append(headers["warc-record-id"])
-                        index["offset"].append(at)
-                        index["length"].append(len(member))
+                        index.write((json.dumps({"record_id": headers["warc-record-id"], "offset": at, "length": len(member)}) + "\n").encode())
+                        ids.append(headers["warc-record-id"])
+                        offsets.append(at)
+                        lengths.append(len(member))
                         at += len(member)
-                with out_fs.open_output_stream(f"{part}.idx", compression=None) as sink:
-                    for row in zip(*index.values(), strict=True):
-                        sink.write((json.dumps(dict(zip(index, row, strict=True))) + "\n").encode())
-                out_fs.move(f"{part}.idx", f"{out}.idx")
-                out_fs.move(part, out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([done] * len(index["offset"]), pa.string()), pa.array(index["record_id"], pa.string()), pa.array(index["offset"], pa.int64()), pa.array(index["length"], pa.int64())],
-                    names=["path", "record_id", "offset", "length"],
-                )
+                columns = [pa.array([done] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "record_id", "offset", "length"])
 
     return run
 
@@ -166,21 +177,51 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path")
 
 
+def _manifest(target: str) -> str:
+    return f"{target}/_manifest"
+
+
 def normalise(spark: SparkSession, monolithic: str, target: str, level: int = 6) -> DataFrame:
     """Rewrite each archive below ``monolithic`` record by record; the index rows of all records.
 
     Beside each ``.warc.gz`` lies its sidecar ``.warc.gz.idx``, one JSON object per record. The rows are
-    checkpointed, so the rewriting runs once.
+    checkpointed, so the rewriting runs once; the manifest of their archives commits it.
     """
     files = archives(spark, monolithic)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return checkpoint(files.repartition(parts, "path").mapInArrow(_normalise(target, level), INDEX))
+    rows = checkpoint(files.repartition(parts, "path").mapInArrow(_normalise(target, level), INDEX))
+    rows.select("path").distinct().write.mode("overwrite").parquet(_manifest(target))
+    _sweep(spark, target)
+    return rows
+
+
+def _name(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]+?)(?:\\.idx)?$", 1)
+
+
+def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            fs, inner = _open(path)
+            if fs.get_file_info(inner).type == pafs.FileType.File:
+                fs.delete_file(inner)
+        yield batch
+
+
+def _sweep(spark: SparkSession, target: str) -> None:
+    """Delete the files of attempts that the manifest does not name."""
+    held = spark.read.parquet(_manifest(target)).select(_name(F.col("path")).alias("name"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz*").load(target).select("path")
+    left = found.withColumn("name", _name(F.col("path"))).join(held, "name", "left_anti").select("path")
+    left.mapInArrow(_delete, "path string").write.format("noop").mode("overwrite").save()
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
-    """The sidecar index files of a folder as a table."""
+    """The sidecar index files of the committed archives of a folder as a table."""
     rows = spark.read.schema("record_id string, offset long, length long").option("pathGlobFilter", "*.idx").json(target)
-    return rows.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.idx$", "").alias("path"), "record_id", "offset", "length")
+    rows = rows.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.idx$", "").alias("path"), "record_id", "offset", "length")
+    held = spark.read.parquet(_manifest(target)).select(_name(F.col("path")).alias("name"))
+    return rows.withColumn("name", _name(F.col("path"))).join(held, "name", "left_semi").drop("name")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

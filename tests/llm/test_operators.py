@@ -262,6 +262,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.records(empty).count() == 0
 
 
+def test_warc_survives_lost_and_doubled_attempts(spark, tmp_path, monkeypatch):
+    """What attempts that did not finish leave behind is never read, and a second run of a task changes nothing."""
+    rows = [(i, "http://a/", "payload %d " % i * 40, 1, "x") for i in range(20)] + [(None, None, "y" * 3_000_000, 1, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int, digest string").repartition(3)
+    mono, normal = f"file://{tmp_path}/mono", f"file://{tmp_path}/normal"
+    warc.write_monolithic(warc.records(pages), mono)
+    sweep = warc._sweep
+    monkeypatch.setattr(warc, "_sweep", lambda *a: None)
+    index = warc.normalise(spark, mono, normal)
+    done = sorted((tmp_path / "normal").glob("*.warc.gz"))
+    (tmp_path / "normal" / "part-0.lost.warc.gz").write_bytes(done[0].read_bytes())
+    (tmp_path / "normal" / "part-0.lost.warc.gz.idx").write_bytes((tmp_path / "normal" / f"{done[0].name}.idx").read_bytes()[:60])
+    again = warc._normalise(normal, 6)  # a doubled task: other names, not in the manifest
+    import pyarrow as pa
+
+    path = sorted((tmp_path / "mono").glob("*.gz"))[0]
+    list(again(iter([pa.RecordBatch.from_arrays([pa.array([f"file://{path}"])], names=["path"])])))
+    read = lambda: sorted((r.record_id, r.payload_bytes) for r in warc.read_records(warc.read_index(spark, normal)).collect())
+    before = read()
+    assert len(before) == 21 == index.count() and ("<urn:x-page:>", 3_000_000) in before
+    sweep(spark, normal)
+    assert sorted((tmp_path / "normal").glob("*.warc.gz")) == done and read() == before
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_monolithic(warc.records(empty), f"{mono}0")
+    warc.normalise(spark, f"{mono}0", f"{normal}0")
+    assert warc.read_records(warc.read_index(spark, f"{normal}0")).count() == 0
+
+
+def test_inflating_is_bounded():
+    """A chunk that inflates to 200 MB comes in pieces; a cut archive is refused."""
+    import io
+
+    raw = gzip.compress(b"z" * 200_000_000) + gzip.compress(b"end")
+    total, largest = 0, 0
+    for piece in warc._inflated(io.BytesIO(raw)):
+        total, largest = total + len(piece), max(largest, len(piece))
+    assert total == 200_000_003 and largest <= warc.PIECE
+    with pytest.raises(ValueError):
+        list(warc._inflated(io.BytesIO(gzip.compress(bytes(range(256)) * 50)[:-20])))
+
+
 def test_split_records_refuses_cut_archives():
     whole = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     assert [r for _, r in warc.split_records(iter([whole[:20], whole[20:], whole]))] == [whole, whole]
