@@ -1,32 +1,35 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits (any non-ASCII byte counts as a letter), lower-cased A-Z. A
-document and a benchmark item that share a seed, a run of ``least`` words, are tiled: running
-Karp-Rabin hashes of all runs of that length give the places where the two agree, neighbouring places on one
-diagonal join to maximal matches, and the longest match whose words are all unmarked is marked again and again;
-a match that overlaps a tile is cut to its unmarked rest and waits its turn. The tiles never overlap, so the
-share of an item's words under tiles, its coverage, also catches passages whose sentences were
+document and a benchmark item that share a seed, a run of ``least`` words, are tiled: the longest
+run of unmarked words that both hold is marked again and again, until none of ``least`` words is left. Running
+Karp-Rabin hashes of all runs of one length tell whether the two share such a run, and bisection over the
+length finds the longest; all tiles of that length are marked in one pass, from the left of the document. Time and
+memory of a pass grow with item plus document, never with the pairs of equal runs. The tiles never overlap,
+so the share of an item's words under tiles, its coverage, also catches passages whose sentences were
 reordered. A pair with coverage of at least ``threshold`` is reported.
 
 The benchmark is the query side. It is taken in blocks of at most ``block_words`` words; every block is a
-bounded broadcast that passes over all documents, and no document text is shuffled. Items shorter than
-``least`` words are matched as a whole; items without words, null texts and null ids match nothing.
-Repeated rows of a document are reported alike, repeated items once. Empty tables give no rows.
+bounded broadcast that passes over all documents, and no document text is shuffled. Where there are several blocks,
+each one's result is written to the shared folder before the next one is fetched, so the driver holds one.
+
+Items of fewer than ``least`` words match nothing (a single common word is no leak), as do null texts and texts without
+words; a null doc_id is not reported by ``leaks`` but judged like others by ``clean_rows``. Repeated rows of a
+document are reported alike, repeated items once. Texts are tiled whole whatever their length; extra columns of any
+name are left out by ``leaks`` and kept by ``clean_rows``. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ordered, partition_offsets
+from millrace.llm.common import checkpoint, ordered, partition_offsets, scratch
 from millrace.llm.wordhash import NOT_ALNUM, U64, mix64, slices, words
 
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -35,7 +38,7 @@ _BITS = 22
 
 @dataclass(frozen=True)
 class TilingParams:
-    """``least`` words make a match; ``threshold`` of an item's words under tiles make a leak."""
+    """``least`` words make a match, and an item; ``threshold`` of an item's words under tiles make a leak."""
 
     least: int = 5
     threshold: float = 0.5
@@ -43,53 +46,99 @@ class TilingParams:
 
 
 def run_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hash of each run of ``width`` words: the last one times the base, less the word that leaves."""
-    if len(tokens) < width:
+    """Karp-Rabin hash of each run of ``width`` words, from running sums: each power of the base weighs one place."""
+    n = len(tokens) - width + 1
+    if n <= 0 or width <= 0:
         return np.zeros(0, U64)
-    total = np.zeros(len(tokens) - width + 1, U64)
     with np.errstate(over="ignore"):
+        total = np.zeros(n, U64)
         for j in range(width):
-            total = total * U64(_BASE) + tokens[j : len(tokens) - width + 1 + j]
+            total = total * U64(_BASE) + tokens[j : n + j]
         return mix64(total)
 
 
+class _Runs:
+    """Running hashes of one word sequence, for runs of any length, and the words that are marked."""
+
+    def __init__(self, tokens: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
+        self.tokens, self.down = tokens, down
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(tokens * up[: len(tokens)], dtype=U64)])
+        self.marked = np.zeros(len(tokens), bool)
+        self.count()
+
+    def count(self) -> None:
+        self.before = np.concatenate([[0], np.cumsum(self.marked)])
+
+    def free(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the runs of ``width`` unmarked words."""
+        at = np.flatnonzero(self.before[width:] == self.before[:-width]) if width <= len(self.tokens) else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            return (self.sums[at + width] - self.sums[at]) * self.down[at], at
+
+    def mark(self, start: int, width: int) -> None:
+        self.marked[start : start + width] = True
+
+
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word sequences: (place in item, place in document, length), longest first."""
-    a, b = run_hashes(item, width), run_hashes(doc, width)
-    if len(a) == 0 or len(b) == 0:
+    """Greedy string tiling of two word sequences: (place in item, place in document, length), longest first.
+
+    Of equally long matches the one first in the document comes first, at the first free place of the item.
+    """
+    if min(len(item), len(doc)) < width:
         return []
-    order = np.argsort(a, kind="stable")
-    low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    held = high - low
-    at = np.flatnonzero(held)
-    if len(at) == 0:
+    shared = np.isin(run_hashes(doc, width), run_hashes(item, width))
+    if not shared.any():
         return []
-    j = np.repeat(at, held[at])
-    i = order[np.repeat(low[at], held[at]) + np.arange(len(j)) - np.repeat(np.cumsum(held[at]) - held[at], held[at])]
-    diagonal = j - i
-    by = np.lexsort((i, diagonal))
-    i, j, diagonal = i[by], j[by], diagonal[by]
-    new = np.append(True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1))
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(i))) + width - 1
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(size, i[first], j[first], strict=True)]
-    heapq.heapify(heap)
-    in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    out = []
-    while heap:
-        n, x, y = heapq.heappop(heap)
-        n = -n
-        taken = in_item[x : x + n] | in_doc[y : y + n]
-        if not taken.any():
-            in_item[x : x + n] = in_doc[y : y + n] = True
-            out.append((x, y, n))
-            continue
-        # the unmarked rests of the match that are long enough wait their turn
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for s, e in zip(edges[::2], edges[1::2], strict=True):
-            if e - s >= width:
-                heapq.heappush(heap, (-int(e - s), x + int(s), y + int(s)))
-    return out
+    n = max(len(item), len(doc)) + 1
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.append(U64(1), np.full(n, _BASE, U64)), dtype=U64)
+        down = np.cumprod(np.append(U64(1), np.full(n, _UNBASE, U64)), dtype=U64)
+    a, b = _Runs(item, up, down), _Runs(doc, up, down)
+    # words outside every shared run are in no tile
+    covered = np.cumsum(np.concatenate([shared, np.zeros(width, bool)]).astype(np.int64) - np.concatenate([np.zeros(width, bool), shared]))
+    b.marked |= covered[: len(doc)] == 0
+    b.count()
+    out, top = [], len(item)
+    while True:
+        low, high = width - 1, top
+        while low < high:
+            middle = (low + high + 1) // 2
+            if np.isin(b.free(middle)[0], a.free(middle)[0]).any():
+                low = middle
+            else:
+                high = middle - 1
+        if low < width:
+            return out
+        hashes, at = a.free(low)
+        places: dict[int, list[int]] = {}
+        for h, x in zip(hashes[::-1].tolist(), at[::-1].tolist(), strict=True):
+            places.setdefault(h, []).append(x)  # the first place is the last one of the list
+        hashes, at = b.free(low)
+        common = np.isin(hashes, np.fromiter(places, U64, len(places)))
+        end = 0
+        for h, y in zip(hashes[common].tolist(), at[common].tolist(), strict=True):
+            if not places:
+                break
+            if y < end or h not in places:
+                continue
+            own = places[h]
+            # a place that overlaps a tile is never free again
+            while own and (a.marked[own[-1]] or a.marked[own[-1] + low - 1]):
+                own.pop()
+            if own and (item[own[-1] : own[-1] + low] == doc[y : y + low]).all():
+                out.append((own[-1], y, low))
+                a.mark(own[-1], low)
+                b.mark(y, low)
+                end = y + low
+            if not own:
+                del places[h]
+        a.count()
+        b.count()
+        top = low - 1
 
 
 def _tokens(texts: list[str | None]) -> list[np.ndarray]:
@@ -105,10 +154,9 @@ def _scan(items: list[tuple[int, str]], params: TilingParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens([t for _, t in items])
-        widths = sorted({min(len(t), params.least) for t in tokens} - {0})
-        seeds = {}
+        seeds, widths = {}, [params.least] if any(len(t) >= params.least for t in tokens) else []
         for width in widths:
-            own = [n for n, t in enumerate(tokens) if min(len(t), params.least) == width]
+            own = [n for n, t in enumerate(tokens) if len(t) >= width]
             hashes = [run_hashes(tokens[n], width) for n in own]
             owner = np.repeat(own, [len(h) for h in hashes])
             flat = np.concatenate(hashes)
@@ -138,7 +186,7 @@ def _scan(items: list[tuple[int, str]], params: TilingParams):
                     if doc_id is None:
                         continue
                     own = tokens[n]
-                    marked = tiles(own, hashes[bounds[d] : bounds[d + 1]], min(len(own), params.least))
+                    marked = tiles(own, hashes[bounds[d] : bounds[d + 1]], params.least)
                     covered = sum(t[2] for t in marked)
                     if covered >= params.threshold * len(own):
                         for k, v in zip(out, (doc_id, items[n][0], covered / len(own), len(marked), marked[0][2]), strict=True):
@@ -169,10 +217,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingPa
     """One row per document and benchmark item that leaks into it: doc_id, item_id, coverage, n_tiles, longest_tile."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
-    found = [rows.mapInArrow(_scan(block, params), schema) for block in blocks(benchmark, params)]
-    if not found:
+    target, n, found = scratch(docs.sparkSession, "leaks"), 0, None
+    for block in blocks(benchmark, params):
+        if found is not None:
+            found.write.parquet(f"{target}/block={n}")
+            n += 1
+        found = rows.mapInArrow(_scan(block, params), schema)
+    if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, found)
+    if not n:
+        return found  # the only block
+    found.write.parquet(f"{target}/block={n}")
+    return docs.sparkSession.read.schema(schema).parquet(target).select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
 
 
 def _drop(items: list[tuple[int, str]], params: TilingParams):
@@ -198,6 +254,10 @@ def _drop(items: list[tuple[int, str]], params: TilingParams):
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingParams()) -> DataFrame:
     """The rows, with all their columns, that no benchmark item leaks into; one pass per block, no shuffle."""
+    first = True
     for block in blocks(benchmark, params):
+        if not first:
+            docs = checkpoint(docs)  # the block before is let go
+        first = False
         docs = docs.mapInArrow(_drop(block, params), docs.schema)
     return docs

@@ -378,6 +378,66 @@ def test_tiling_catches_reordered_passages(spark):
     assert decontaminate.leaks(docs, bench, small).count() == len(got)
 
 
+def brute_tiles(a, b, width):
+    """All pairs of places, the longest free match first; ties by place in the document, then in the item."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = None
+        for y in range(len(b)):
+            for x in range(len(a)):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n] and free_a[x + n] and free_b[y + n]:
+                    n += 1
+                if n >= width and (best is None or n > best[2]):
+                    best = (x, y, n)
+        if best is None:
+            return out
+        out.append(best)
+        x, y, n = best
+        free_a[x : x + n] = [False] * n
+        free_b[y : y + n] = [False] * n
+
+
+def test_tiles_match_brute_force():
+    import numpy as np
+
+    r = random.Random(14)
+    for k in range(200):
+        letters = r.choice([2, 3, 5])
+        a, b = ([r.randrange(letters) for _ in range(r.randint(1, 24))] for _ in range(2))
+        got = decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sorted(got, key=lambda t: (-t[2], t[1])) == sorted(brute_tiles(a, b, 3), key=lambda t: (-t[2], t[1])), (a, b)
+
+
+def test_tiling_of_repeated_words_is_linear():
+    """A long text of one word against an item of that word, and two long texts of few words: no pairs in memory."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    began = time.time()
+    tracemalloc.start()
+    assert decontaminate.tiles(np.full(40, 7, np.uint64), np.full(1_000_000, 7, np.uint64), 5)[0] == (0, 0, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    r = np.random.default_rng(3)
+    a, b = (r.integers(0, 4, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+    found = decontaminate.tiles(a, b, 5)
+    assert peak < 500_000_000 and time.time() - began < 60
+    assert sum(t[2] for t in found) > 10_000 and len({x for t in found for x in range(t[0], t[0] + t[2])}) == sum(t[2] for t in found)
+
+
+def test_short_items_and_odd_documents(spark):
+    docs = spark.createDataFrame([(None, "the one two three four five six", 1, "x"), (1, "the", 1, "x"), (2, "w " * 50_000 + "one two three four five", 1, "x"), (3, None, 1, "x")], "doc_id long, text string, item_id int, coverage string")
+    bench = spark.createDataFrame([(1, "the"), (2, "one two three four"), (None, "one two three four five"), (5, "one two three four five")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(2, 5)]
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()) == [1, 3]
+    small = decontaminate.TilingParams(block_words=1)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, small).collect()] == [(2, 5)]
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench, small).collect()) == [1, 3]
+
+
 def test_tiles_never_overlap():
     import numpy as np
 
