@@ -151,7 +151,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat.read_back(chat.format_conversations(chat.conversation_events(rows)))
+    back = chat.read_back(chat.format_conversations(chat.logged_events(rows)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return back.select(

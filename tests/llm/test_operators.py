@@ -598,6 +598,52 @@ def test_chat_fold(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def brute_fold(events):
+    """The events of all conversations, one by one in the order of seq."""
+    slots = {}
+    for c in {e[0] for e in events}:
+        own = sorted((e for e in events if e[0] == c), key=lambda e: (e[1], e[3], e[4] or "", e[5] or ""))
+        live = list(own)
+        for e in own:
+            if e[3] == "regenerate":
+                live = [x for x in live if not (x[2] > e[2] and x[1] < e[1])]
+        done = {}
+        for _, _, turn, kind, role, text in live:
+            at, text, role = done.setdefault(turn, []), text or "", role or ""
+            if kind in ("message", "start") or not at and kind in ("delta", "edit", "regenerate"):
+                at.append([role, text])
+            elif kind == "delta":
+                at[-1][1] += text
+            elif kind in ("edit", "regenerate"):
+                at[-1][1] = text
+        slots[c] = [(r, x, r == "assistant") for turn in sorted(done) for r, x in done[turn]]
+    return {c: m for c, m in slots.items() if m}
+
+
+def test_chat_fold_matches_brute_force(spark):
+    r = random.Random(21)
+    kinds = ["message", "start", "delta", "delta", "delta", "edit", "regenerate", "typing"]
+    events = []
+    for c in (1, 2, 3, 4, None):
+        seqs = list(range(400))
+        r.shuffle(seqs)
+        events += [(c, s, r.randrange(3 if c == 4 else 40), r.choice(kinds), r.choice(["user", "assistant", None]), r.choice(["a<", "|b[", "</s>\n", "", None, "é\\"])) for s in seqs[: 400 if c == 4 else 90]]
+    events += [(5, s, s, "message", "assistant" if s % 2 else "user", f"x{s}") for s in range(700)]
+    df = spark.createDataFrame([(*e, 1, "x") for e in events], "conv_id long, seq long, turn long, kind string, role string, text string, head int, at string")
+    back = {q.conv_id: [(t.role, t.text, t.loss) for t in q.turns] for q in chat.read_back(chat.format_conversations(df)).collect()}
+    assert back == brute_fold(events)
+
+
+def test_chat_query_folds_streamed_events(spark, sf_dir, monkeypatch):
+    """The registered query's result comes through deltas, edits and regenerations."""
+    seen = []
+    real = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda e: seen.append(e) or real(e))
+    queries.QUERIES["op9_chat_events"](spark, sf_dir)
+    kinds = {q.kind for q in seen[0].select("kind").distinct().collect()}
+    assert kinds == {"message", "start", "delta", "edit", "regenerate"}
+
+
 def test_escapes_round_trip(spark):
     r = random.Random(8)
     texts = ["".join(r.choice("\\<[|>/sa") for _ in range(r.randint(0, 12))) for _ in range(400)]
