@@ -671,6 +671,27 @@ def test_url_rules_match_brute_force(spark):
     assert {r.verdict for r in url_filter.judged(pages, url_filter.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
 
 
+def test_url_sweep_of_deep_and_many_rules(spark):
+    """Nested hosts and paths, many path rules of one host, long URLs, in several range partitions."""
+    r = random.Random(31)
+    labels = ["a", "b", "a-b", "é", "a\uffff"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randint(1, 5)))
+    path = lambda n: "".join(r.choice(["/", "x", "/x", "\u0001", "é"]) for _ in range(r.randint(0, n)))
+    rules = sorted({(r.choice(["block", "allow"]), host(), path(4)) for _ in range(300)})
+    rules += [("block" if i % 2 else "allow", "one.host", "/" + "p" * i) for i in range(60)] + [("block", "one.host", "/"), ("block", "", "/"), ("allow", "B.a", None)]
+    urls = [f"http://{host()}{path(9)}" for _ in range(800)] + [f"http://s.one.host/{'p' * i}?q" for i in range(0, 90, 3)] + ["ftp://a.b/" + "x" * 200_000]
+    pages = spark.createDataFrame([(None if i % 50 == 0 else i, u, "k", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, pid_ int")
+    got = url_filter.judged(pages, url_filter.rule_table(spark, rules)).collect()
+    assert len(got) == len(urls)
+    want = Counter()
+    for i, u in enumerate(urls):
+        h, p = re.fullmatch(r"(?s)[a-z]+://([^/?#]*)([^?#]*).*", u).groups()
+        fits = [(len(rh + (rp or "")), rh.lower() + (rp or ""), v) for v, rh, rp in rules if rh and (h == rh.lower() or h.endswith("." + rh.lower())) and p.startswith(rp or "")]
+        best = max(fits) if fits else (0, None, "allow")
+        want[(None if i % 50 == 0 else i, h, p, best[1], best[2])] += 1
+    assert Counter(tuple(q) for q in got) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir)
