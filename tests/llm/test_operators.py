@@ -564,6 +564,35 @@ def test_exceptions_and_longest_entry():
     assert m.total(" a clown fish ") == 0 and m.total(" a clown trash ") == 5.0
 
 
+def test_matcher_matches_brute_force():
+    """The automaton against a search for every entry at every word."""
+    r = random.Random(17)
+    stems = ["".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(40)]
+    weights = {f" {w}{e}": float(i + 1) for i, w in enumerate(stems) for e in ("", " ")}
+    phrases = tuple({f"{r.choice(stems)} {r.choice(stems)}" for _ in range(12)})
+    matcher = toxicity.Matcher(weights, phrases)
+    for _ in range(300):
+        text = toxicity.fold(" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30))))
+        safe = {k for p in phrases for at in range(len(text)) if text.startswith(f" {p} ", at) for k in range(at, at + len(p) + 2)}
+        total = 0.0
+        for at, c in enumerate(text):
+            fits = [e for e in weights if text.startswith(e, at)] if c == " " and at not in safe else []
+            total += weights[max(fits, key=len)] if fits else 0.0
+        assert matcher.total(text) == total, text
+
+
+def test_toxicity_odd_inputs(spark):
+    rows = [(None, "you idiot"), (1, None), (2, ""), (3, "calm words " * 200_000 + "idiot"), (4, "you stupid worthless idiot moron"), (4, "you stupid worthless idiot moron")]
+    df = spark.createDataFrame([(i, t, 0.25, "x") for i, t in rows], "doc_id long, text string, score double, toxic string")
+    model = toxicity.Model(toxicity.base_weights())
+    got = [(r.doc_id, round(r.score, 6)) for r in toxicity.scored(df, model).collect()]
+    assert len(got) == 6 and Counter(i for i, _ in got) == Counter([None, 1, 2, 3, 4, 4]) and len({s for i, s in got if i == 4}) == 1
+    low = {i: s for i, s in got}
+    assert low[1] == low[2] < low[3] < 0.5 < low[4]
+    kept = toxicity.clean_rows(df, model)
+    assert kept.columns == df.columns and all(r.score == 0.25 for r in kept.collect())
+
+
 def test_toxicity_held_out(spark, sf_dir, docs, none):
     from roc import auc
 
@@ -716,6 +745,26 @@ def test_pipeline(spark, sf_dir):
     assert Counter(r.doc_id for r in placed.collect()) == Counter(r.doc_id for r in mix.collect())
 
 
+def test_pipeline_odd_inputs(spark, sf_dir, tmp_path):
+    """Null ids, texts and sources, repeated rows, clashing columns; empty tables; results of earlier stages are removed."""
+    import corpus_pipeline
+
+    r, vocab = random.Random(41), vocabulary(600)
+    rows = [(None if i % 9 == 0 else i % 50, None if i == 4 else "" if i == 5 else " ".join(r.choice(vocab) for _ in range(30 + i)), "en", None if i % 3 else f"s{i % 4}", i, 1, "b") for i in range(80)]
+    rows += rows[:6] + [(500, "long " * 60_000, "en", "s1", 1, 1, "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, shard string"
+    for name, own in (("full", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(len(own)).write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+        got = out.collect()
+        assert (len(got) > 40) == bool(own) and all(0 <= q.shard < 24 for q in got)
+        assert {q.doc_id for q in got} <= {q[0] for q in own}
+
+
 def test_toxicity_lexicon_has_every_toxic_word(spark):
     r = random.Random(4)
     marks = sorted({"".join(r.choice("bcdfghjklm") for _ in range(8)) for _ in range(900)})
