@@ -1,7 +1,13 @@
 """A corpus pipeline: five stages over ``documents``, each through one of the training-data operators.
 
 Every stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and works on all rows
-that the stage before it kept; its result is written as Parquet and read again as the next one's docs.
+that the stage before it kept; its result is written as Parquet and read again as the next one's docs. The result
+of a stage is deleted once the next one is written.
+
+Null texts are empty, null and repeated doc_ids, repeated rows, null sources, very long texts and extra columns of any name
+pass through all stages that keep the columns: toxicity and decontamination judge row by row; near-duplicate removal
+keeps one row of each group and all rows without doc_id; mixing takes rows by doc_id, source and size. The manifest
+has one row per row of the mix. Empty tables give an empty manifest; without labels the hand-written lexicon decides.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, minhash, mixing, shards, toxicity
-from millrace.llm.common import scratch
+from millrace.llm.common import remove, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
