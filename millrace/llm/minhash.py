@@ -329,18 +329,20 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         for round_ in range(ROUNDS + 1):
             known = members.join(labels, members["own.id"] == labels["id"], "left").drop("id") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
             known = known.select("bucket", "own", F.coalesce("label", "own.id").alias("label"))
-            inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-            sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
-            sizes = checkpoint(sizes.where("held * held > within"))
-            left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
-            if not cross:
-                done = True
-                break
-            open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
-            few = cross <= LAST_PAIRS * left
-            if round_ == ROUNDS and not few and stage is not None:
-                break
-            last = few or round_ == ROUNDS
+            last, open_ = False, known
+            if round_:
+                inside = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+                sizes = inside.groupBy("bucket").agg(F.sum("k").alias("held"), F.sum(F.col("k") * F.col("k")).alias("within"))
+                sizes = checkpoint(sizes.where("held * held > within"))
+                left, cross = sizes.agg(F.sum("held"), F.sum((F.col("held") * F.col("held") - F.col("within")) / 2)).first()
+                if not cross:
+                    done = True
+                    break
+                open_ = lookup_join(known, sizes.select("bucket"), "bucket", hot=hot)
+                few = cross <= LAST_PAIRS * left
+                if round_ == ROUNDS and not few and stage is not None:
+                    break
+                last = few or round_ == ROUNDS
             pairs = _rest_pairs(open_, sizes, params, hot) if last else _pivot_pairs(open_, round_, params, hot)
             found = compact(verified(compact(pairs), sets, params.threshold))
             links = found if links is None else links.unionByName(found)
