@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def snake_case(c: Column) -> Column:
-    """CamelCase to snake_case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    """CamelCase to snake_case; digits stay with the word before them, and a leading underscore is read as ``private``."""
+    parted = F.regexp_replace(F.regexp_replace(c, "(.)([A-Z][a-z0-9]+)", "$1_$2"), "([a-z])([A-Z])", "$1_$2")
+    low = F.lower(parted)
+    return F.when(F.startswith(low, F.lit("_")), F.concat(F.lit("private"), low)).otherwise(low)
 
 
 def whitelisted(c: Column) -> Column:

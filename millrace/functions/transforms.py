@@ -44,10 +44,18 @@ def stacked(df: DataFrame, inputs: list[str], output: str, dim: int = -1) -> Dat
     return df.withColumn(output, F.when(F.size(inputs[0]) == 0, empty).otherwise(cells))
 
 
-def cast_columns(df: DataFrame, inputs: list[str], outputs: list[str], dtype: str = "bigint") -> DataFrame:
-    """Cast, toward zero for numbers; what can't be cast is null."""
+def cast_columns(df: DataFrame, inputs: list[str], outputs: list[str], dtype: str = "bigint", strict: bool = True) -> DataFrame:
+    """Cast, toward zero for numbers; what can't be cast fails the query, or is null where not ``strict``."""
     _same_length(inputs, outputs)
-    return df.withColumns({o: F.col(i).try_cast(dtype) for i, o in zip(inputs, outputs, strict=True)})
+
+    def one(name: str) -> Column:
+        done = F.col(name).try_cast(dtype)
+        if not strict:
+            return done
+        text = F.concat(F.lit(f"{name} can't be cast to {dtype}: "), F.col(name).cast("string"))
+        return F.when(done.isNull() & F.col(name).isNotNull(), F.raise_error(text).cast(dtype)).otherwise(done)
+
+    return df.withColumns({o: one(i) for i, o in zip(inputs, outputs, strict=True)})
 
 
 def constant(df: DataFrame, inputs: list[str], outputs: list[str], value: object, dtype: str) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import checkpointed, numbered
+
 MICROS = {"days": 86_400_000_000, "hours": 3_600_000_000, "minutes": 60_000_000}
 
 
@@ -92,7 +94,8 @@ def point_in_time(left: DataFrame, time_us: str, parts: list[tuple[str, GroupBy]
 
     Left and right rows of a part are put in one table and swept by one window per key, so there is no range join.
     """
-    out = left.withColumn("row_", F.monotonically_increasing_id()) if len(parts) > 1 else left
+    # several parts meet by row number; the checkpoint keeps it the same in every branch
+    out = checkpointed(left.withColumn("row_", F.monotonically_increasing_id())) if len(parts) > 1 else left
     found = []
     for prefix, part in parts:
         values = list(dict.fromkeys(a.column for a in part.aggregations))
@@ -113,6 +116,5 @@ def point_in_time(left: DataFrame, time_us: str, parts: list[tuple[str, GroupBy]
 
 
 def dense_index(values: DataFrame, column: str, output: str) -> DataFrame:
-    """Distinct values with their place in order, from 0."""
-    ranked = Window.orderBy(column)
-    return values.select(column).where(F.col(column).isNotNull()).distinct().withColumn(output, (F.row_number().over(ranked) - 1).cast("bigint"))
+    """Distinct values with their place in order, from 0, counted over range partitions."""
+    return numbered(values.select(column).where(F.col(column).isNotNull()).distinct(), [column], output)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ordering import numbered
+
 
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42, output: str = "split") -> DataFrame:
     """Rows assigned to named parts by a hash of their key: the same under any partitioning."""
@@ -23,7 +25,8 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42
 def positional_split(df: DataFrame, order: list[str], train: float = 0.8, validation: float = 0.1, output: str = "split") -> DataFrame:
     """The first share of the rows in order to train, the next to validation, the rest to test; shares are cut to whole rows.
 
-    Places come from running counts over range partitions, so no task holds all rows.
+    Order keys may be numbers, texts or times. Places come from running counts over range partitions, so no task
+    holds all rows.
     """
     n = df.count()
     first, second = int(n * train), int(n * train) + int(n * validation)
@@ -32,20 +35,6 @@ def positional_split(df: DataFrame, order: list[str], train: float = 0.8, valida
     return place.withColumn(output, c).drop("place_")
 
 
-def numbered(df: DataFrame, order: list[str], output: str) -> DataFrame:
-    """Rows with their place in a total order, from 0, counted per range of the order."""
-    first = order[0]
-    bounds = df.select(F.percentile_approx(F.col(first).cast("double"), [i / 32 for i in range(1, 32)], 1000).alias("b")).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = reduce(lambda a, b: a + (F.col(first).cast("double") >= F.lit(b)).cast("int"), bounds, F.lit(0)) if bounds else F.lit(0)
-    dealt = df.withColumn("part_", F.coalesce(part, F.lit(-1)))
-    counts = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_")))  # 33 rows at most
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
-    return dealt.withColumn("in_", inside).join(offsets, "part_").withColumn(output, F.col("before_") + F.col("in_")).drop("part_", "in_", "before_", "n_")
-
-
 def temporal_split(df: DataFrame, time: Column, train_until: str, validation_until: str, output: str = "split") -> DataFrame:
     """Up to the first bound train, up to the second validation, later test."""
     a, b = F.lit(train_until).cast("timestamp_ntz"), F.lit(validation_until).cast("timestamp_ntz")

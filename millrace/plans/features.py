@@ -50,7 +50,7 @@ def t_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t_cast", f"SELECT {_KEY}, CAST(trunc(-l_extendedprice) AS BIGINT) AS price, TRY_CAST(l_returnflag AS BIGINT) AS flag FROM lineitem")
 def t_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _lines(spark, sf_dir).withColumn("minus", -F.col("l_extendedprice"))
-    return _keyed(transforms.cast_columns(df, ["minus", "l_returnflag"], ["price", "flag"]), "price", "flag")
+    return _keyed(transforms.cast_columns(df, ["minus", "l_returnflag"], ["price", "flag"], strict=False), "price", "flag")
 
 
 @query("t_constant", f"SELECT {_KEY}, CAST(7 AS BIGINT) AS seven FROM lineitem")
@@ -117,13 +117,21 @@ def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(arrays.l2_normalised(F.col("embedding"))[0], 6).alias("head"))
 
 
-@query("text_functions", """SELECT p_partkey, lower(regexp_replace(regexp_replace('PartName' || p_brand, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake,
+#: CamelCase names and what they become, as stated by the semantics; fixed values.
+NAMES = {
+    "CamelCase": "camel_case", "SimpleCase": "simple_case", "Word": "word", "word": "word", "snake_case": "snake_case", "XMLHttpRequest": "xml_http_request",
+    "HTTPResponse": "http_response", "CamelCase2Text": "camel_case2text", "Test123Case": "test123_case", "parseHTML5Content": "parse_htm_l5content",
+    "_PrivateClass": "private__private_class", "_privateMethod": "private_private_method", "A": "a", "a": "a",
+}
+
+
+@query("text_functions", f"""SELECT p_partkey, (ARRAY{list(NAMES.values())})[p_partkey % {len(NAMES)} + 1] AS snake,
   regexp_replace(p_type || '!?*', '[^a-zA-Z0-9\\-_. ,]', '', 'g') AS clean,
   CASE WHEN length(repeat(p_name, 6)) > 60 THEN left(sha256(repeat(p_name, 6)), 8) || '-' || right(repeat(p_name, 6), 51) ELSE repeat(p_name, 6) END AS short FROM part""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_name = F.repeat("p_name", 6)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.snake_case(F.concat(F.lit("PartName"), "p_brand")).alias("snake"),
+        "p_partkey", text.snake_case(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))).alias("snake"),
         text.whitelisted(F.concat("p_type", F.lit("!?*"))).alias("clean"), text.short_label(long_name).alias("short"),
     )
 
@@ -241,11 +249,11 @@ def rating_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty query vectors (a stated query set) with filter values."""
+    """Every vector whose id is divisible by 50, with filter values around its own id."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id < 20").select(
+    return e.where("vec_id % 50 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.array("label").alias("labels"),
-        (F.col("vec_id") * 3).alias("lo"), (F.col("vec_id") * 10 + 200).alias("hi"), (F.col("vec_id") % 4).alias("member"),
+        (F.col("vec_id") - 500).alias("lo"), (F.col("vec_id") + 1500).alias("hi"), (F.col("vec_id") % 4).alias("member"),
     )
 
 
@@ -255,7 +263,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILTERS = vector.Filters({"label": "labels"}, {"members": "member"}, {"number": "lo"}, {"number": "hi"})
-_VECTOR_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql, vec_id * 3 AS lo, vec_id * 10 + 200 AS hi, vec_id % 4 AS member FROM embeddings WHERE vec_id < 20),
+_VECTOR_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql, vec_id - 500 AS lo, vec_id + 1500 AS hi, vec_id % 4 AS member FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS item_id, list_dot_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS dot,
   list_dot_product(CAST(qe AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS qq, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS ee,
   (CASE WHEN label = ql THEN 1 ELSE 0 END) - 1 + (CASE WHEN vec_id % 4 = member THEN 1 ELSE 0 END) + (CASE WHEN vec_id % 3 = member THEN 1 ELSE 0 END) - 1
@@ -299,46 +307,6 @@ def hit_rate_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.hit_rate(found, q.select("query_id", F.col("query_id").alias("item_id")), "query_id", "item_id", 3).select(F.round("hit_rate", 6).alias("hit_rate"))
 
 
-def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 50, with filter values around its own id."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 50 = 0").select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.array("label").alias("labels"),
-        (F.col("vec_id") - 500).alias("lo"), (F.col("vec_id") + 1500).alias("hi"), (F.col("vec_id") % 4).alias("member"),
-    )
-
-
-_WHOLE_SQL = _VECTOR_SQL.replace("vec_id * 3 AS lo, vec_id * 10 + 200 AS hi", "vec_id - 500 AS lo, vec_id + 1500 AS hi").replace("WHERE vec_id < 20", "WHERE vec_id % 50 = 0")
-
-
-@query("vec_topk_whole", _WHOLE_SQL + _rank_sql("dot", 10))
-def vec_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 10))
-
-
-@query("vec_topk_filtered_whole", _WHOLE_SQL + _rank_sql("dot + soft", 5))
-def vec_topk_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 5, _FILTERS))
-
-
-@query("vec_two_stage_whole", _WHOLE_SQL + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY soft DESC, item_id) AS m FROM s), g AS (SELECT * FROM f WHERE m <= 50) " + _rank_sql("dot + soft", 10, "g"))
-def vec_two_stage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 10, _FILTERS, 50))
-
-
-@query("vec_euclid_whole", _WHOLE_SQL + _rank_sql("-sqrt(greatest(qq + ee - 2 * dot, 1e-6))", 5))
-def vec_euclid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(vector.search(_whole_queries(spark, sf_dir), _items(spark, sf_dir), "query_id", "item_id", 5, relevance=vector.negative_distance))
-
-
-@query("hit_rate_at_k_whole", _WHOLE_SQL + """, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, item_id) AS rank FROM s)
-SELECT round(avg(CASE WHEN h.query_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate FROM q LEFT JOIN (SELECT DISTINCT query_id FROM r WHERE rank <= 3 AND item_id = query_id) h USING (query_id)""")
-def hit_rate_at_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _whole_queries(spark, sf_dir)
-    found = vector.search(q, _items(spark, sf_dir), "query_id", "item_id", 3)
-    return vector.hit_rate(found, q.select("query_id", F.col("query_id").alias("item_id")), "query_id", "item_id", 3).select(F.round("hit_rate", 6).alias("hit_rate"))
-
-
 @query("log_q_correction", "SELECT label, round(ln(1 - pow(1 - p, 64)), 6) AS c FROM (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS p FROM embeddings GROUP BY label)")
 def log_q_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")

@@ -55,6 +55,10 @@ class FileSink:
             raise ValueError(f"unknown format {self.format!r}")
         if not self.path:
             raise ValueError("the path is empty")
+        scheme, mark, rest = self.path.partition("://")
+        bucket, _, prefix = rest.partition("/")
+        if mark and scheme not in ("file", "hdfs", "viewfs") and (not bucket or prefix.startswith("/")):
+            raise ValueError("an object store's path needs a bucket, and its prefix begins without a slash")
         self.path = self.path.rstrip("/")
 
     def write(self, df: DataFrame) -> None:

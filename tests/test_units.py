@@ -192,3 +192,33 @@ def test_whole_vector_queries_take_their_share_of_the_table(spark, tmp_path, mon
     assert ranks("vec_euclid_whole") == want(lambda q: best(q, far, 5))
     share = sum(q in best(q, dot, 3) for q in asked) / len(asked)
     assert registry.QUERIES["hit_rate_at_k_whole"](spark, str(tmp_path)).first().hit_rate == round(share, 6)
+
+
+def test_numbered_takes_texts_and_times(spark):
+    from millrace.operators import prep
+
+    rows = [(f"k{i % 7}", f"2024-01-{i % 28 + 1:02d}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t string, i int").withColumn("t", F.col("t").cast("timestamp"))
+    for order in (["k", "i"], ["t", "i"], [F.col("k").desc(), "i"]):
+        got = [r.i for r in prep.numbered(df, order, "place").orderBy("place").collect()]
+        assert got == [r.i for r in df.orderBy(*order).collect()]
+    assert [prep.positional_split(df, ["k", "i"]).where(F.col("split") == s).count() for s in ("train", "validation", "test")] == [40, 5, 5]
+
+
+def test_strict_cast_raises(spark):
+    from millrace.functions import transforms
+
+    df = spark.createDataFrame([("1",), (None,), ("x",)], "a string")
+    assert [r.b for r in transforms.cast_columns(df, ["a"], ["b"], strict=False).collect()] == [1, None, None]
+    assert [r.b for r in transforms.cast_columns(df.where("a is null or a = '1'"), ["a"], ["b"]).collect()] == [1, None]
+    with pytest.raises(Exception, match="can't be cast"):
+        transforms.cast_columns(df, ["a"], ["b"]).collect()
+
+
+def test_file_sink_refuses_odd_prefixes():
+    from millrace.sources.sinks import FileSink
+
+    for path in ("", "s3://", "s3:///x", "s3://bucket//x"):
+        with pytest.raises(ValueError):
+            FileSink(path)
+    assert FileSink("s3://bucket/x/").path == "s3://bucket/x"
