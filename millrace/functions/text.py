@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,28 @@ def prompt(instruction: Column, context: Column, answer: Column) -> Column:
     return F.concat(body.otherwise(F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n\n### Response:\n"))), F.coalesce(answer, F.lit("")))
 
 
+def question_prompt(question: Column, answer: Column) -> Column:
+    """Question and answer as training text; a null is empty."""
+    return F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")), F.lit("\nAnswer: "), F.coalesce(answer, F.lit("")))
+
+
+def training_text(df: DataFrame, end: str) -> Column:
+    """The text to train on, by the columns that a table has, with the end token behind it.
+
+    instruction and output (and input, if there), else question and answer, else text, else the row as JSON.
+    """
+    has = set(df.columns)
+    if {"instruction", "output"} <= has:
+        body = prompt(F.col("instruction"), F.col("input") if "input" in has else F.lit(None).cast("string"), F.col("output"))
+    elif {"question", "answer"} <= has:
+        body = question_prompt(F.col("question"), F.col("answer"))
+    elif "text" in has:
+        body = F.coalesce(F.col("text"), F.lit(""))
+    else:
+        body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return F.concat(body, F.lit(end))
+
+
 def date_string(days: int = 0, base: Column | None = None) -> Column:
     """UTC date (of now, or of a timestamp) moved by days, as text."""
     return F.date_format(F.date_add((base if base is not None else F.current_timestamp()).cast("date"), days), "yyyy-MM-dd")

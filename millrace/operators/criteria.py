@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 EQUAL, NOT_EQUAL, GT, GTE, LT, LTE, LIKE, IN, NOT_IN, IS_NULL, IS_NOT_NULL = (
@@ -199,6 +199,19 @@ def by_name(objects: DataFrame, namespace: str, name: str) -> DataFrame:
     return live(objects, namespace).where(F.col("name") == name).limit(1)
 
 
+def by_uid(objects: DataFrame, uid: str) -> DataFrame:
+    """The live object of that uid."""
+    return live(objects).where(F.col("uid") == uid).limit(1)
+
+
+def one(found: DataFrame, what: str = "object") -> Row:
+    """The single row of a lookup; LookupError where there is none."""
+    row = found.first()
+    if row is None:
+        raise LookupError(f"{what} not found")
+    return row
+
+
 def latest(objects: DataFrame, n: int, since: Column | None = None, time: str = "create_time", key: str = "uid") -> DataFrame:
     """The n newest objects: sorted, then cut."""
     out = objects if since is None else objects.where(F.col(time) >= since)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,30 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def confusion_table(df: DataFrame, truth: str, predicted: str, classes: list[str]) -> DataFrame:
+    """One row per class, zeros included: ``truth`` and ``counts``, an array in the order of ``classes``.
+
+    Rows whose classes are not listed, or null, count nowhere.
+    """
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(classes)], "place int, truth string")
+    cells = F.array(*[F.count_if(F.col(predicted).cast("string") == c) for c in classes]).alias("found_")
+    found = df.groupBy(F.col(truth).cast("string").alias("truth")).agg(cells)
+    met = F.broadcast(names).join(found, "truth", "left")
+    zeros = F.array(*[F.lit(0).cast("bigint") for _ in classes])
+    return met.select("place", "truth", F.coalesce("found_", zeros).alias("counts"))
+
+
+def bucket_limit(bucket: Column, low: float, high: float, buckets: int) -> Column:
+    """The upper end of a histogram's bucket: ``low`` for bucket 0, infinity beyond the last."""
+    width = (float(high) - float(low)) / buckets
+    return F.when(bucket > buckets, F.lit(float("inf"))).otherwise(F.lit(float(low)) + bucket * F.lit(width))
+
+
+def mean_or(c: Column, fallback: float) -> Column:
+    """The mean of the values that are not null; ``fallback`` where there are none."""
+    return F.coalesce(F.avg(c), F.lit(float(fallback)))
+
+
 def entropy(df: DataFrame, column: str) -> DataFrame:
     """Entropy (nats) of a column's distribution."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))

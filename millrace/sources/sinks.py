@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 MODES = ("overwrite", "append", "ignore", "error")
 #: Most rows of one Parquet file.
@@ -80,6 +81,34 @@ class MemorySink:
         self.records = [r.asDict(recursive=True) for r in rows]
 
 
+@dataclass
+class ReportSink:
+    """Evaluation reports, one JSON document each, as ``<path>/<name>`` on any file system Spark can write."""
+
+    path: str
+    mode: str = "error"
+
+    def write(self, spark: SparkSession, report: dict, extra: dict | None = None) -> str:
+        """Write a small report; ``extra`` wins over its fields. Returns where it went."""
+        name = (report.get("metadata") or {}).get("name")
+        if not name:
+            raise ValueError("the report has no metadata.name")
+        document = json.dumps({**report, **(extra or {})})
+        target = f"{self.path.rstrip('/')}/{name}"
+        spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode(_mode(self.mode)).text(target)
+        return target
+
+
+@dataclass
+class CallReportSink:
+    """Reports handed to a function, such as a client of a service; gives back what it returns."""
+
+    send: Callable[[dict], object]
+
+    def write(self, spark: SparkSession, report: dict, extra: dict | None = None) -> object:
+        return self.send({**report, **(extra or {})})
+
+
 def push(df: DataFrame, sinks: list) -> int:
     """Write one table to several sinks in order; the plan runs once. Returns its rows."""
     held = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -48,9 +48,12 @@ def upsert(snapshot: DataFrame, changes: DataFrame, key: str = "key", seq: str =
     return both.groupBy(key).agg(last, *first).select(key, "last_.*", *keep).select(changes.columns)
 
 
-def soft_delete(snapshot: DataFrame, keys: DataFrame, at: Column, key: str = "key") -> DataFrame:
-    """delete_time set for the given keys that are live."""
-    gone = keys.select(key).distinct().withColumn("gone_", F.lit(True))
+def soft_delete(snapshot: DataFrame, keys: DataFrame, at: Column, key: str = "key", must_exist: bool = False) -> DataFrame:
+    """delete_time set for the given keys that are live; with ``must_exist`` a key without a live row is a LookupError."""
+    wanted = keys.select(key).distinct()
+    if must_exist and not wanted.join(snapshot.where(F.col("delete_time").isNull()), key, "left_anti").isEmpty():
+        raise LookupError("some keys have no live row")
+    gone = wanted.withColumn("gone_", F.lit(True))
     met = snapshot.join(gone, key, "left")
     hit = F.col("gone_") & F.col("delete_time").isNull()
     return met.withColumn("delete_time", F.when(hit, at).otherwise(F.col("delete_time"))).select(snapshot.columns)
