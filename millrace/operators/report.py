@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import numbered
+
 
 def histogram(df: DataFrame, column: str, low: float, high: float, buckets: int) -> DataFrame:
     """Rows per bucket of equal width over [low, high); values outside go to bucket 0 or buckets + 1."""
@@ -21,11 +26,33 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key, interpolated between neighbours; ``shares``: output name to share.
+
+    Rows get their place in the order of keys and value over range partitions, and the two rows beside each quantile
+    are picked by place, so no task holds the values of a group. Nulls are left out; a group of nulls only has null ones.
+    """
+    c = F.col(column).cast("double")
+    named = df.select(*[F.col(k).alias(f"key{i}_") for i, k in enumerate(keys)], c.alias("value_"))
+    own = [f"key{i}_" for i in range(len(keys))]
+    placed = numbered(named.where("value_ is not null"), [*own, "value_"], "place_")
+    ends = placed.groupBy(*own).agg(F.min("place_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    asked = F.array(*[F.struct(F.lit(n).alias("name_"), (F.lit(float(q)) * (F.col("n_") - 1)).alias("at_")) for n, q in shares.items()])
+    wanted = ends.select(*own, "first_", F.inline(asked))
+    low = F.floor("at_")
+    share = F.col("at_") - low
+    beside = F.array(F.struct((F.col("first_") + low).alias("place_"), (1 - share).alias("share_")), F.struct((F.col("first_") + low + 1).alias("place_"), share.alias("share_")))
+    cells = wanted.select(*own, "name_", F.inline(F.filter(beside, lambda x: x["share_"] > 0)))
+    found = cells.join(placed.select("place_", "value_"), "place_")
+    wide = found.groupBy(*own).agg(*[F.sum(F.when(F.col("name_") == n, F.col("share_") * F.col("value_"))).alias(n) for n in shares])
+    groups = named.select(*own).distinct()
+    met = groups.alias("g").join(wide.alias("w"), reduce(and_, [F.col(f"g.{k}").eqNullSafe(F.col(f"w.{k}")) for k in own], F.lit(True)), "left")
+    return met.select(*[F.col(f"g.{k}").alias(name) for k, name in zip(own, keys, strict=True)], *[F.col(f"w.{n}") for n in shares])
+
+
 def box_plot(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Five-number summary per key."""
-    q = F.percentile(column, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = df.groupBy(*keys).agg(q.alias("q"))
-    return out.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    return quantiles(df, keys, column, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Change ingestion: object changes folded into a table of latest states, in batch and as a stream.
 
 Changes (uid, namespace, name, seq, op inputs, payload columns) are keyed by a stable primary key and
-merged last write wins. A snapshot is Parquet per micro-batch, written again under the same
-number on a retry, so replays don't change it.
+merged last write wins. A stream keeps a change log with a full base now and then, both written again under
+the same number on a retry, so replays don't change them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +71,49 @@ def label_rows(objects: DataFrame, uid: str, labels: str) -> DataFrame:
     return objects.select(F.col(uid).alias("obj_uid"), F.explode(labels).alias("key", "value"))
 
 
-def ingest_stream(changes: DataFrame, path: str, checkpoint: str, key: str = "key", seq: str = "seq"):
-    """Fold a stream of changes into snapshots ``path/batch=N``; starts and returns the query (available now)."""
+#: A full snapshot is written after so many micro-batches.
+COMPACT_EVERY = 16
+
+
+def ingest_stream(changes: DataFrame, path: str, checkpoint: str, key: str = "key", seq: str = "seq", compact_every: int = COMPACT_EVERY):
+    """Fold a stream of changes into a change log below ``path``; starts and returns the query (available now).
+
+    A micro-batch writes the last change of each of its keys to ``changes/batch=N``, no more than it read. Every
+    ``compact_every`` batches the table so far goes to ``base/batch=N``, so a reader folds one base and fewer than
+    ``compact_every`` batches of changes. Both are overwritten under the same number on a retry.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest_changes(batch, key, seq)
-        before = read_snapshot(spark, path, number - 1, batch.schema)
-        merged = new if before is None else upsert(before.select(batch.columns), new.select(batch.columns), key, seq)
-        merged.select(batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        latest_changes(batch, key, seq).select(batch.columns).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % compact_every == 0:
+            whole = _folded(batch.sparkSession, path, number, key, seq, compact_every, compacting=True)
+            whole.select(batch.columns).write.mode("overwrite").parquet(f"{path}/base/batch={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_snapshot(spark: SparkSession, path: str, number: int, schema=None) -> DataFrame | None:
-    """The snapshot after a micro-batch; None before the first."""
-    if number < 0:
-        return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/batch={number}")
+def _folded(spark: SparkSession, path: str, number: int, key: str, seq: str, compact_every: int, compacting: bool = False) -> DataFrame:
+    done = number if compacting else number + 1  # batches whose base may be read
+    base = done // compact_every * compact_every - 1
+    logs = [f"{path}/base/batch={base}"] if base >= 0 else []
+    logs += [f"{path}/changes/batch={n}" for n in range(base + 1, number + 1)]
+    parts = [spark.read.parquet(p).withColumn("batch_", F.lit(at)) for at, p in enumerate(logs)]
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    columns = [c for c in both.columns if c != "batch_"]
+    keep = [c for c in STICKY if c in columns]
+    rest = [c for c in columns if c not in (key, *keep)]
+    last = F.max_by(F.struct(*rest), F.struct(seq, "batch_")).alias("last_")
+    first = [F.min_by(c, "batch_").alias(c) for c in keep]
+    return both.groupBy(key).agg(last, *first).select(key, "last_.*", *keep).select(columns)
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int, key: str = "key", seq: str = "seq", compact_every: int = COMPACT_EVERY) -> DataFrame | None:
+    """The table after a micro-batch, folded from the last base and the changes since; None before the first.
+
+    Key, seq and ``compact_every`` are those of the stream. The highest seq wins, of equal ones the later batch's;
+    sticky columns keep their first values.
+    """
+    return None if number < 0 else _folded(spark, path, number, key, seq, compact_every)
 
 
 def window_counts(events: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
