@@ -32,34 +32,60 @@ def pad_to(c: Column, size: Column | int, value: Column) -> Column:
 
 def max_sizes(df: DataFrame, column: str) -> tuple[int, ...]:
     """The largest size at each level of a (nested) array column, from one aggregate over the table."""
-    levels, c, type_ = [], F.col(column), df.schema[column].dataType
-    flat = c
+    levels, rows, type_ = [], F.array(F.col(column)), df.schema[column].dataType
     while isinstance(type_, T.ArrayType):
-        top = F.size(flat) if not levels else F.coalesce(F.array_max(F.transform(flat, lambda x: F.when(x.isNull(), 0).otherwise(F.size(x)))), F.lit(0))
-        levels.append(F.coalesce(F.max(F.when(c.isNull(), 0).otherwise(top)), F.lit(0)))
-        if len(levels) > 1:
-            flat = F.flatten(flat)
-        type_ = type_.elementType
+        rows = F.filter(rows, lambda x: x.isNotNull())
+        levels.append(F.coalesce(F.max(F.array_max(F.transform(rows, lambda x: F.size(x)))), F.lit(0)))
+        rows, type_ = F.flatten(rows), type_.elementType
     return tuple(df.agg(*levels).first())
 
 
+def _filled(c: Column, type_: T.DataType, sizes: tuple[int, ...], fill: Column) -> Column:
+    if len(sizes) == 1:
+        return pad_to(c, sizes[0], fill)
+    blank = fill
+    for size in reversed(sizes[1:]):
+        blank = F.array_repeat(blank, size)
+    inner = F.transform(F.coalesce(c, F.array().cast(type_)), lambda x: _filled(x, type_.elementType, sizes[1:], fill))
+    return pad_to(inner, sizes[0], blank)
+
+
 def padded(df: DataFrame, column: str, output: str, value: object = None) -> DataFrame:
-    """A ragged (one- or two-level) array column filled up to the largest size per level."""
+    """A ragged array column of any depth filled up to the largest size per level."""
     type_ = df.schema[column].dataType
     leaf = leaf_type(type_)
     fill = sentinel(leaf) if value is None else F.lit(value).cast(leaf)
-    sizes = max_sizes(df, column)
-    if len(sizes) == 1:
-        return df.withColumn(output, pad_to(F.col(column), sizes[0], fill))
-    if len(sizes) != 2:
-        raise ValueError("arrays of one or two levels can be padded")
-    inner = F.transform(F.coalesce(F.col(column), F.array().cast(type_)), lambda x: pad_to(x, sizes[1], fill))
-    return df.withColumn(output, pad_to(inner, sizes[0], F.array_repeat(fill, sizes[1])))
+    return df.withColumn(output, _filled(F.col(column), type_, max_sizes(df, column), fill))
 
 
 def parse_array(c: Column, dtype: str = "array<float>") -> Column:
-    """An array from its text form; unreadable text is null."""
-    return F.from_json(c, dtype)
+    """An array from its text form, JSON or a Python list or tuple; unreadable text is null.
+
+    Arrays of strings may be lists in either kind of quotes; tuples, None, True and False are read for other types.
+    """
+    if "string" in dtype:
+        return F.from_json(c, dtype)
+    plain = F.translate(c, "()", "[]")
+    for literal, name in (("None", "null"), ("True", "true"), ("False", "false"), ("nan", "NaN"), ("inf", "Infinity")):
+        plain = F.regexp_replace(plain, rf"\b{literal}\b", name)
+    return F.from_json(F.regexp_replace(plain, r",\s*\]", "]"), dtype)
+
+
+def mean_pooled(tokens: Column, mask: Column | None = None) -> Column:
+    """The mean of token vectors, of those whose mask is not 0 where there is one; null where no token is left.
+
+    ``tokens`` is an array of vectors of one size, ``mask`` an array of numbers as long.
+    """
+    if mask is not None:
+        both = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(0)) != 0)
+        tokens = F.transform(both, lambda x: x["t"])
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("array<double>").alias("s"))
+
+    def add(so_far: Column, v: Column) -> Column:
+        v = F.transform(v, lambda x: x.cast("double"))
+        return F.struct((so_far["n"] + 1).alias("n"), F.coalesce(F.zip_with(so_far["s"], v, lambda x, y: x + y), v).alias("s"))
+
+    return F.aggregate(tokens, start, add, lambda found: F.transform(found["s"], lambda x: x / found["n"]))
 
 
 def reshape_column(c: Column) -> Column:

@@ -60,6 +60,11 @@ def training_text(df: DataFrame, end: str) -> Column:
     return F.concat(body, F.lit(end))
 
 
+def word_count(c: Column) -> Column:
+    """Words between white space; a null has none."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
+
+
 def date_string(days: int = 0, base: Column | None = None) -> Column:
     """UTC date (of now, or of a timestamp) moved by days, as text."""
     return F.date_format(F.date_add((base if base is not None else F.current_timestamp()).cast("date"), days), "yyyy-MM-dd")

@@ -118,6 +118,20 @@ def vocabulary_index(c: Column, vocabulary: list[int]) -> Column:
     return F.coalesce(F.nullif(F.array_position(known, c.cast("bigint")), F.lit(0)) - 1, F.lit(len(vocabulary))).cast("bigint")
 
 
+def vocabulary_indexed(df: DataFrame, inputs: list[str], outputs: list[str], vocabulary: list[int]) -> DataFrame:
+    """``vocabulary_index`` of columns of integers or arrays of them, of any depth; the integer type is kept."""
+    _same_length(inputs, outputs)
+
+    def placed(c: Column, type_: T.DataType) -> Column:
+        if isinstance(type_, T.ArrayType):
+            return F.transform(c, lambda x: placed(x, type_.elementType))
+        if not isinstance(type_, T.IntegralType):
+            raise ValueError(f"integers are needed, not {type_.simpleString()}")
+        return vocabulary_index(c, vocabulary).cast(type_)
+
+    return df.withColumns({o: placed(F.col(i), df.schema[i].dataType) for i, o in zip(inputs, outputs, strict=True)})
+
+
 def vocabulary_join(df: DataFrame, column: str, vocabulary: DataFrame, output: str, size: int) -> DataFrame:
     """The same for a long vocabulary, a table (value, place): a left join on its first places."""
     first = vocabulary.groupBy("value").agg(F.min("place").alias("place_"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +83,12 @@ def display_order(values: DataFrame, column: str, selected: list[str]) -> DataFr
 
 
 def accessor(path: str, default: object = None) -> Column:
-    """A nested field by dotted path, with a default for null."""
-    return F.col(path) if default is None else F.coalesce(F.col(path), F.lit(default))
+    """A nested cell by path, as ``a.b[0].c``, with a default for null; a place beyond an array's end is null."""
+    first, *steps = re.findall(r"[^.\[\]]+|\[\d+\]", path)
+    c = F.col(f"`{first}`")
+    for step in steps:
+        c = F.get(c, F.lit(int(step[1:-1]))) if step.startswith("[") else c[step]
+    return c if default is None else F.coalesce(c, F.lit(default))
 
 
 def flattened(df: DataFrame) -> DataFrame:

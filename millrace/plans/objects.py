@@ -81,7 +81,7 @@ def doc_live_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("doc_by_state", _sql("SELECT uid, namespace, name, state, price FROM o WHERE delete_time IS NULL AND state = 'P'"))
 def doc_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = Operation((Criterion("order.spec.status", C.EQUAL, "P"),))
-    return _shown(C.filter_objects(C.live(objects(spark, sf_dir)), tree, ORDER))
+    return _shown(C.filter_objects(C.live(objects(spark, sf_dir)), tree, ORDER).orderBy(F.desc("create_time"), "uid"))
 
 
 @query("doc_join_labels", _sql("SELECT uid, name, value FROM o JOIN l ON uid = obj_uid AND key = 'priority' AND value = '2-HIGH' WHERE delete_time IS NULL"))
@@ -92,7 +92,7 @@ def doc_join_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_soft_deleted", _sql("SELECT uid, name, delete_time FROM o WHERE delete_time IS NOT NULL"))
 def doc_soft_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir).where(F.col("delete_time").isNotNull()).select("uid", "name", "delete_time")
+    return objects(spark, sf_dir).where(F.col("delete_time").isNotNull()).orderBy(F.desc("create_time"), "uid").select("uid", "name", "delete_time")
 
 
 @query("cli_list_100", _sql("SELECT uid, namespace, name, state, price FROM o WHERE delete_time IS NULL ORDER BY create_time DESC, uid LIMIT 100"))
